@@ -1,0 +1,22 @@
+"""Exact deduplication followed by a leakage-free split."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievelake.functions.hashing import sha256_hex
+from sievelake.functions.text import normalize
+from sievelake.operators.dedup import exact_dedup
+from sievelake.operators.splits import two_way_split
+
+
+def exact_dedup_split(documents: DataFrame, eval_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """Keep the lowest ``doc_id`` of each normalised text, split by source, count by split and language."""
+    hashed = documents.select("doc_id", "lang", "source", sha256_hex(normalize(F.col("text"))).alias("digest"))
+    kept = exact_dedup(hashed, ["digest"], ["doc_id"])
+    return (
+        kept.withColumn("split", two_way_split(F.col("source"), eval_fraction, seed))
+        .groupBy("split", "lang")
+        .agg(F.count("*").alias("n_docs"))
+    )
