@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rows of an Arrow batch that the JVM hands to Python, and bytes of text handled at a time.
-ROWS_PER_BATCH = 512
+ROWS_PER_BATCH = 1024
 SLICE_BYTES = 4 << 20
 
 

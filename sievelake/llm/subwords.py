@@ -1,4 +1,4 @@
-"""Byte-level BPE ids of whole texts, with a bounded cache of already encoded chunks.
+"""Byte-level BPE ids of whole texts.
 
 Texts are cut where a space follows a visible character. A pretoken of the
 vocabulary's pattern never spans such a place and the pattern never looks
@@ -9,19 +9,23 @@ Each distinct chunk of a batch is encoded once.
 from __future__ import annotations
 
 import json
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from sievelake.llm.batches import gather
+from sievelake.llm.batches import byte_view, gather
 
 #: The split pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: ASCII and two-byte letters up to U+023F: all Unicode versions class these alike.
-_PLAIN = re.compile(rb"(?:[\x00-\x7f]|[\xc3-\xc8][\x80-\xbf]){1,400}")
-_CACHE_ENTRIES, _CACHE_IDS = 300_000, 3_000_000
+#: Bytes of characters other than ASCII and letters from U+00C0 to U+023F, which all Unicode versions class alike.
+_RARE = np.zeros(256, np.int64)
+_RARE[[0xC2, *range(0xC9, 0x100)]] = 1
+#: Bytes that, last in a plain character, are no white space.
+_SOLID = np.ones(256, bool)
+_SOLID[[*range(9, 14), *range(28, 33)]] = False
+#: Longer chunks go to the library, whose merges stay fast.
+_LONG = 400
 
 
 def _visible_bytes() -> dict[str, int]:
@@ -33,15 +37,16 @@ def _visible_bytes() -> dict[str, int]:
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where chunks begin: each non-empty text, and each space after a character that isn't white space."""
-    solid = np.ones(256, bool)
-    solid[[*range(9, 14), *range(28, 33)]] = False
     cut = np.flatnonzero(data == 0x20)
     cut = cut[cut >= 3]
     last, middle, first = data[cut - 1], data[cut - 2], data[cut - 3]
     wide = ((middle == 0xC2) & ((last == 0x85) | (last == 0xA0))) | ((first >= 0xE1) & (first <= 0xE3) & (middle >= 0x80))
-    cut = cut[solid[last] & ~wide]
+    cut = cut[_SOLID[last] & ~wide]
     begins = offsets[:-1][np.diff(offsets) > 0]
-    return np.union1d(cut, begins)
+    marked = np.zeros(len(data), bool)
+    marked[cut] = True
+    marked[begins] = True
+    return np.flatnonzero(marked)
 
 
 class ByteBpe:
@@ -59,34 +64,36 @@ class ByteBpe:
         ranks = {bytes(of[c] for c in piece): i for piece, i in stored["model"]["vocab"].items() if piece not in special}
         self.special = [s.encode() for s in special]
         self.fast = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-
-    def encode_chunk(self, chunk: bytes) -> list[int]:
-        text = chunk.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
-            return self.fast.encode_ordinary(text)
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def _slots_of(self, chunks: list[bytes]) -> np.ndarray:
-        if len(self.slots) > _CACHE_ENTRIES or len(self.ids) > _CACHE_IDS:
-            self.clear()
-        slots, new, base = self.slots, [], len(self.starts)
-        for chunk in chunks:
-            if chunk not in slots:
-                slots[chunk] = base + len(new)
-                new.append(self.encode_chunk(chunk))
-        if new:
-            lengths = np.fromiter(map(len, new), np.int64, len(new))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), np.uint32, int(lengths.sum()))])
-        return np.fromiter(map(slots.__getitem__, chunks), np.int64, len(chunks))
+        self.bytes_of_id = np.zeros(max(ranks.values()) + 1, np.int64)
+        for piece, i in ranks.items():
+            self.bytes_of_id[i] = len(piece)
+
+    def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, one after the other, and how many each has.
+
+        Chunks that begin with a space, end visibly and hold plain characters are
+        encoded as one text: their borders are places where texts may be cut, and
+        the bytes of the ids tell which chunk each belongs to.
+        """
+        data, offsets = byte_view(chunks)
+        lengths, raw = np.diff(offsets), data.tobytes()
+        rare = np.add.reduceat(_RARE[data], offsets[:-1])
+        easy = (data[offsets[:-1]] == 0x20) & _SOLID[data[offsets[1:] - 1]] & (rare == 0) & (lengths <= _LONG)
+        if any(s in raw for s in self.special):
+            easy &= [not any(s in raw[a:b] for s in self.special) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        counts = np.zeros(len(chunks), np.int64)
+        text = data[np.repeat(easy, lengths)].tobytes().decode()
+        ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        reach = np.cumsum(self.bytes_of_id[ids])
+        counts[easy] = np.diff(np.searchsorted(reach, np.cumsum(lengths[easy]), side="right"), prepend=0)
+        hard = np.flatnonzero(~easy)
+        spans = zip(offsets[hard].tolist(), offsets[hard + 1].tolist())
+        others = [self.library.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids if rare[k] or b - a > _LONG or any(s in raw[a:b] for s in self.special) else self.fast.encode_ordinary(raw[a:b].decode()) for k, (a, b) in zip(hard.tolist(), spans)]
+        counts[hard] = [len(x) for x in others]
+        flat = np.empty(int(counts.sum()), np.uint32)
+        flat[np.repeat(easy, counts)] = ids
+        flat[np.repeat(~easy, counts)] = np.fromiter((i for x in others for i in x), np.uint32, int(counts[hard].sum()))
+        return flat, counts
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's ids begin (texts + 1)."""
@@ -96,11 +103,11 @@ class ByteBpe:
         bounds = np.append(starts, len(data)).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
-        slot = self._slots_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        lengths = self.lengths[slot]
-        flat = self.ids[gather(self.starts[slot], lengths)]
+        ids, counts = self._encode_chunks(coded.dictionary)
+        slot = coded.indices.to_numpy()
+        lengths = counts[slot]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return flat, ends[np.searchsorted(starts, offsets)]
+        return ids[gather((np.cumsum(counts) - counts)[slot], lengths)], ends[np.searchsorted(starts, offsets)]
 
 
 @lru_cache(maxsize=2)
