@@ -8,12 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import packing
+from sievelake.llm import archives, packing, pieces, ring, simhash
 from sievelake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "home_shard",
+    )
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_pack_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select(
@@ -21,9 +43,22 @@ def op9_pack_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = archives.archive_pages(table(spark, sf_dir, "pages"))
+    records = archives.read_archives(written, keep_payload=False)
+    return records.filter("record_type != 'gap'").select(
+        archives.page_number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        archives.page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_shard_ring": op2_shard_ring,
+        "op4_simhash": op4_simhash,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_pack_pieces": op9_pack_pieces,
+        "op10_warc": op10_warc,
     }
 
 
