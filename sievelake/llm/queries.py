@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import archives, packing, pieces, ring, simhash
+from sievelake.llm import archives, lines, packing, pieces, quality, ring, simhash
 from sievelake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,38 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.dedup_lines(table(spark, sf_dir, "documents"), removed_col="n_removed")
+    return cleaned.select("doc_id", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: Distinct sites of each line are counted exactly; the first occurrence of a line on 10 or more stays.
+OP5_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), trimmed AS (
+  SELECT doc_id, source, pos, line, trim(line, chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS kernel FROM lines
+), spread AS (
+  SELECT kernel FROM trimmed WHERE kernel <> '' GROUP BY kernel HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT t.doc_id, t.pos, t.line,
+         s.kernel IS NOT NULL AND row_number() OVER (PARTITION BY t.kernel ORDER BY t.doc_id, t.pos) > 1 AS gone
+  FROM trimmed t LEFT JOIN spread s ON t.kernel = s.kernel
+)
+SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "reason"
+    )
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select(
@@ -56,6 +88,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_shard_ring": op2_shard_ring,
         "op4_simhash": op4_simhash,
+        "op5_line_spread": op5_line_spread,
+        "op7_compression_bands": op7_compression_bands,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_pack_pieces": op9_pack_pieces,
         "op10_warc": op10_warc,
@@ -63,4 +97,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_line_spread": OP5_SQL,
+    }
