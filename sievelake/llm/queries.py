@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import archives, lines, packing, pieces, quality, ring, simhash
+from sievelake.llm import archives, licenses, lines, packing, pieces, quality, ring, simhash
 from sievelake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -87,6 +91,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_shard_ring": op2_shard_ring,
+        "op3_license_digests": op3_license_digests,
         "op4_simhash": op4_simhash,
         "op5_line_spread": op5_line_spread,
         "op7_compression_bands": op7_compression_bands,
@@ -98,5 +103,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_license_digests": licenses.scan_sql(),
         "op5_line_spread": OP5_SQL,
     }
