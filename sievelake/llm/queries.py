@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import archives, licenses, lines, packing, pieces, quality, ring, simhash
+from sievelake.llm import archives, licenses, lines, mih, packing, pieces, quality, ring, simhash
 from sievelake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mih_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(table(spark, sf_dir, "embeddings"), query_every=20, k=20)
+
+
 def op2_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring.shard_documents(table(spark, sf_dir, "documents"), shards=8)
     return placed.select(
@@ -90,6 +94,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mih_neighbours": op1_mih_neighbours,
         "op2_shard_ring": op2_shard_ring,
         "op3_license_digests": op3_license_digests,
         "op4_simhash": op4_simhash,
