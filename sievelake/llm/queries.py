@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import archives, licenses, lines, mih, packing, pieces, quality, ring, simhash
+from sievelake.llm import archives, licenses, lines, mih, packing, pieces, quality, ring, scoring, simhash
 from sievelake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op6_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.language_model_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "reason"
@@ -99,6 +103,7 @@ def queries() -> dict[str, Query]:
         "op3_license_digests": op3_license_digests,
         "op4_simhash": op4_simhash,
         "op5_line_spread": op5_line_spread,
+        "op6_attention_scores": op6_attention_scores,
         "op7_compression_bands": op7_compression_bands,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_pack_pieces": op9_pack_pieces,

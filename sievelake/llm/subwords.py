@@ -28,6 +28,18 @@ _SOLID[[*range(9, 14), *range(28, 33)]] = False
 _LONG = 400
 
 
+#: Chunks whose ids a worker keeps.
+_CACHED = 500_000
+
+
+def _fit(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The store with ``more`` after its first ``used`` values; grows by doubling."""
+    if used + len(more) > len(store):
+        store = np.concatenate([store, np.zeros(max(len(store), len(more)), store.dtype)])
+    store[used : used + len(more)] = more
+    return store
+
+
 def _visible_bytes() -> dict[str, int]:
     """Which byte each character of the vocabulary file stands for."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -59,14 +71,45 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
+        self.size = len(stored["model"]["vocab"])
         special = {t["content"] for t in stored.get("added_tokens", ())}
         of = _visible_bytes()
         ranks = {bytes(of[c] for c in piece): i for piece, i in stored["model"]["vocab"].items() if piece not in special}
         self.special = [s.encode() for s in special]
         self.fast = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of_id = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.begins_word = np.zeros(self.size, bool)
         for piece, i in ranks.items():
-            self.bytes_of_id[i] = len(piece)
+            self.bytes_of_id[i], self.begins_word[i] = len(piece), piece[0] == 0x20
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all chunks."""
+        self.slots: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.lengths = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def slots_of(self, chunks: pa.Array) -> np.ndarray:
+        """Where the ids of distinct chunks are kept: ``ids[starts[slot]:][:lengths[slot]]``. New chunks are
+        encoded together; the cache holds a bounded number of chunks, besides those of this call."""
+        listed = chunks.to_pylist()
+        if len(self.slots) + len(listed) > _CACHED:
+            self.clear()
+        found = [self.slots.get(c, -1) for c in listed]
+        slot = np.array(found, np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            ids, counts = self._encode_chunks(chunks.take(pa.array(new)))
+            base = len(self.slots)
+            self.starts = _fit(self.starts, base, self.used + np.cumsum(counts) - counts)
+            self.lengths = _fit(self.lengths, base, counts)
+            self.ids = _fit(self.ids, self.used, ids)
+            self.used += len(ids)
+            slot[new] = np.arange(base, base + len(new))
+            self.slots.update(zip([listed[i] for i in new.tolist()], range(base, base + len(new))))
+        return slot
 
     def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, one after the other, and how many each has.
@@ -103,11 +146,10 @@ class ByteBpe:
         bounds = np.append(starts, len(data)).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
-        ids, counts = self._encode_chunks(coded.dictionary)
-        slot = coded.indices.to_numpy()
-        lengths = counts[slot]
+        slot = self.slots_of(coded.dictionary)[coded.indices.to_numpy()]
+        lengths = self.lengths[slot]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return ids[gather((np.cumsum(counts) - counts)[slot], lengths)], ends[np.searchsorted(starts, offsets)]
+        return self.ids[gather(self.starts[slot], lengths)], ends[np.searchsorted(starts, offsets)]
 
 
 @lru_cache(maxsize=2)
