@@ -8,7 +8,8 @@ exclusive-or and bit counts, in small sub-tiles, skipping pairs of sub-tiles
 whose population counts, segment by segment, differ beyond the radius. A group
 returns a spanning forest of its links, never all pairs, and the forests are
 merged by alternating stars, so that nothing of the size of the corpus meets on
-the driver or in one task.
+the driver or in one task. In similarity mode the fingerprints are candidates,
+and an exact comparison of the shingle sets decides.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.batches import bounded, byte_view, slices
@@ -31,12 +32,15 @@ TILE, SUB, BLOCK = 16384, 256, 65_025
 #: Differing bits of 256 within which texts of similarity 0.8 fall: their fingerprints differ in 39 on
 #: average (angle arccos(8/9) of pi) with a deviation of 5.7; unrelated texts differ in 128.
 RADIUS_80 = 54
+#: In similarity mode all links of rows with so many or fewer in a pair of tiles are checked; rows of denser
+#: groups are linked to the closest first, level by level, by as many links as connect them.
+DEGREE = 32
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th further hash of a hash: a splitmix64 step."""
-    z = h + _GOLDEN * np.uint64(k)
+    z = h + np.uint64(int(_GOLDEN) * k % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
@@ -75,7 +79,8 @@ def shingle_hashes(data: bytes, starts: list[int], ends: list[int], width: int,
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n_words: int = 1, distinct: bool = False) -> DataFrame:
-    """``doc_id``, ``w0`` .. (64 bits each, as signed long) and ``size`` (number of shingles) of each row."""
+    """``doc_id``, ``t1``, ``t2`` (128 bits of the text), ``w0`` .. (64 bits of the fingerprint each, as signed long)
+    and ``size`` (number of shingles) of each row."""
     names = [f"w{k}" for k in range(n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,41 +97,77 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n_word
                 for k, column in enumerate(columns):
                     column.append(majority(_mix(hashes, k) if k else hashes))
             arrays = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(sizes, pa.int64())], names=["doc_id", *names, "size"])
+            known = [batch.column(i) for i in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*known, *arrays, pa.array(sizes, pa.int64())], names=["doc_id", "t1", "t2", *names, "size"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return bounded(chosen).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", size long")
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *text_key(text))
+    return bounded(chosen).mapInArrow(run, "doc_id long, t1 long, t2 long, " + ", ".join(f"{n} long" for n in names) + ", size long")
+
+
+def text_key(text: Column) -> list[Column]:
+    """128 bits of a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 def hexadecimal(*words: str) -> Column:
     return F.concat(*[F.lower(F.lpad(F.hex(F.col(w)), 16, "0")) for w in words])
 
 
-def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, sizes: tuple | None = None, ratio: float = 0.0) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two tiles of fingerprints (rows of 64-bit words), or
-    within one (``right`` None). Indices count the left rows first, then the right ones. With
-    ``ratio``, sizes of linked rows differ by that ratio at most."""
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, sizes: tuple | None = None, ratio: float = 0.0, degree: int = 0) -> list[tuple[int, int]]:
+    """Links between two tiles of fingerprints (rows of 64-bit words), or within one (``right`` None).
+
+    Indices count the left rows first, then the right ones. With ``ratio``, sizes
+    of linked rows differ by that ratio at most. The links returned are a spanning
+    forest, closest rows first, and all links of rows that have ``degree`` or fewer.
+    """
     both = left if right is None else np.concatenate([left, right])
     n, words = both.shape
     size = None if sizes is None else np.concatenate(sizes).astype(np.float64)
     counts = np.bitwise_count(np.ascontiguousarray(both).view(np.uint16).reshape(n, 4 * words)).astype(np.int16)
 
-    def arranged(rows: np.ndarray) -> np.ndarray:
-        part = counts[rows]
-        if words == 1:
-            return rows[np.lexsort(part.T[::-1])]
-        return rows[np.argsort(part.sum(axis=1) if size is None else size[rows], kind="stable")]
-
-    a = arranged(np.arange(len(left)))
-    b = a if right is None else arranged(np.arange(len(left), n))
-    cut = lambda rows: [rows[i : i + SUB] for i in range(0, len(rows), SUB)]
-    subs_a, subs_b = cut(a), cut(b)
-    low = lambda subs: np.array([counts[s].min(axis=0) for s in subs])
-    high = lambda subs: np.array([counts[s].max(axis=0) for s in subs])
-    low_a, high_a, low_b, high_b = low(subs_a), high(subs_a), low(subs_b), high(subs_b)
-    if size is not None:
-        small_b, large_b = np.array([size[s].min() for s in subs_b]), np.array([size[s].max() for s in subs_b])
-    parent, comp, forest = list(range(n)), np.arange(n), []
+    def arranged(rows: np.ndarray) -> list[np.ndarray]:
+        keys = counts[rows].T[::-1] if size is None else (counts[rows].sum(axis=1), size[rows])
+        rows = rows[np.lexsort(keys)]
+        return [rows[i : i + SUB] for i in range(0, len(rows), SUB)]
+
+    subs_a = arranged(np.arange(len(left)))
+    subs_b = subs_a if right is None else arranged(np.arange(len(left), n))
+    low_a, high_a = (np.array([f(counts[s], axis=0) for s in subs_a]) for f in (np.min, np.max))
+    low_b, high_b = (np.array([f(counts[s], axis=0) for s in subs_b]) for f in (np.min, np.max))
+
+    def distances(i: int, j: int) -> np.ndarray:
+        """Differing bits of two sub-tiles; beyond the radius where sizes differ, or for pairs met before."""
+        rows_a, rows_b = subs_a[i], subs_b[j]
+        d = np.bitwise_count(both[rows_a, 0][:, None] ^ both[rows_b, 0][None, :])
+        if words > 1:
+            d = d.astype(np.uint16)
+            for k in range(1, words):
+                d += np.bitwise_count(both[rows_a, k][:, None] ^ both[rows_b, k][None, :])
+        if size is not None:
+            x, y = size[rows_a][:, None], size[rows_b][None, :]
+            d = np.where((x >= ratio * y) & (y >= ratio * x), d, radius + 1)
+        if right is None and i == j:
+            d = np.where(np.tri(len(rows_a), dtype=bool), radius + 1, d)
+        return d
+
+    near, degrees = [], np.zeros(n, np.int64)
+    for i in range(len(subs_a)):
+        gap = np.maximum(0, np.maximum(low_b - high_a[i], low_a[i] - high_b)).sum(axis=1)
+        if size is not None:
+            mine, other = size[subs_a[i]], [(size[s].min(), size[s].max()) for s in subs_b]
+            gap = np.where([mine.max() < ratio * x or mine.min() * ratio > y for x, y in other], radius + 1, gap)
+        for j in np.flatnonzero(gap <= radius).tolist():
+            if right is None and j < i:
+                continue
+            d = distances(i, j)
+            hits = d <= radius
+            if hits.any():
+                near.append((i, j))
+                if degree:
+                    degrees[subs_a[i]] += hits.sum(axis=1)
+                    degrees[subs_b[j]] += hits.sum(axis=0)
+    parent, comp, found = list(range(n)), np.arange(n), set()
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -134,30 +175,16 @@ def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, sizes:
             x = parent[x]
         return x
 
-    for i, rows_a in enumerate(subs_a):
-        gap = np.maximum(0, np.maximum(low_b - high_a[i], low_a[i] - high_b)).sum(axis=1)
-        if size is not None:
-            unlike = (size[rows_a].max() < ratio * small_b) | (size[rows_a].min() * ratio > large_b)
-            gap = np.where(unlike, radius + 1, gap)
-        for j in np.flatnonzero(gap <= radius).tolist():
-            if right is None and j < i:
-                continue
-            rows_b = subs_b[j]
-            d = np.bitwise_count(both[rows_a, 0][:, None] ^ both[rows_b, 0][None, :])
-            if words > 1:
-                d = d.astype(np.uint16)
-                for k in range(1, words):
-                    d += np.bitwise_count(both[rows_a, k][:, None] ^ both[rows_b, k][None, :])
-            near = d <= radius
-            if size is not None:
-                x, y = size[rows_a][:, None], size[rows_b][None, :]
-                near &= (x >= ratio * y) & (y >= ratio * x)
-            if right is None and i == j:
-                near = np.triu(near, 1)
-            at = np.flatnonzero(near)
-            if not len(at):
-                continue
+    levels = sorted({radius, *range(radius // 6, radius, max(1, radius // 6))}) if degree else [radius]
+    for level in levels:
+        for i, j in near:
+            rows_a, rows_b = subs_a[i], subs_b[j]
+            d = distances(i, j)
+            at = np.flatnonzero(d <= level)
             u, v = rows_a[at // len(rows_b)], rows_b[at % len(rows_b)]
+            if degree and level == radius:
+                few = (degrees[u] <= degree) | (degrees[v] <= degree)
+                found.update(zip(u[few].tolist(), v[few].tolist()))
             apart = comp[u] != comp[v]
             if not apart.any():
                 continue
@@ -167,9 +194,9 @@ def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, sizes:
                 x, y = root(p), root(q)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-                    forest.append((p, q))
+                    found.add((p, q))
             comp = _settled(parent)
-    return forest
+    return sorted(found)
 
 
 def _settled(parent: list[int]) -> np.ndarray:
@@ -182,7 +209,7 @@ def _settled(parent: list[int]) -> np.ndarray:
 
 
 def links(nodes: DataFrame, n_words: int, radius: int, ratio: float | None = None) -> DataFrame:
-    """Spanning forests of the links between distinct fingerprints: rows ``a``, ``b`` of nodes.
+    """Links between distinct fingerprints that connect what all links connect: rows ``a``, ``b`` of nodes.
 
     ``nodes``: node, w0 .., size. The driver sees the number of nodes in each
     class: 65 classes of population counts, or one for each factor of size.
@@ -221,7 +248,8 @@ def links(nodes: DataFrame, n_words: int, radius: int, ratio: float | None = Non
         keep = np.concatenate([np.flatnonzero(is_left), np.flatnonzero(~is_left)])
         values, size, n = values[keep], size[keep], int(is_left.sum())
         sizes = None if ratio is None else ((size,) if lo == hi else (size[:n], size[n:]))
-        found = tile_forest(values if lo == hi else values[:n], None if lo == hi else values[n:], radius, sizes, ratio or 0.0) if len(values) > 1 and n else []
+        few = 0 if ratio is None else DEGREE
+        found = tile_links(values if lo == hi else values[:n], None if lo == hi else values[n:], radius, sizes, ratio or 0.0, few) if len(values) > 1 and n else []
         name = lambda i: "".join(f"{int(w):016x}" for w in values[i]) + ("" if ratio is None else f"/{size[i]}")
         return pd.DataFrame([(name(i), name(j)) for i, j in found], columns=["a", "b"])
 
@@ -255,6 +283,49 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``.
+    Sets are made again for texts that a pair names, from the row that stands for its node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, offsets = byte_view(batch.column(1))
+            data = lower_ascii(data)
+            starts, ends, bounds = word_spans(data, offsets)
+            raw, a, b, edges = data.tobytes(), starts.tolist(), ends.tolist(), bounds.tolist()
+            sets = [shingle_hashes(raw, a[i:j], b[i:j], width, True).view(np.int64) for i, j in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    known = nodes.join(named, "node").select("node", F.col("least.no_id").alias("x"), F.coalesce("least.doc_id", F.lit(0)).alias("i"), F.col("least.t1").alias("t1"), F.col("least.t2").alias("t2"))
+    known = materialize(known, "compared")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).isNull().alias("x"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), *text_key(text), text.alias("text"))
+    texts = rows.join(known.hint("shuffle_hash"), ["x", "i", "t1", "t2"]).select("node", "text")
+    sets = bounded(texts).mapInArrow(run, "node string, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
+    sets = materialize(sets, "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.withColumn("common", common).filter(F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, n_words: int, distinct: bool, ratio: float | None) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints with their ``node``, and for each node ``first``: the smallest (id, text) of its component, null ids last."""
+    words = [f"w{k}" for k in range(n_words)]
+    node = hexadecimal(*words) if ratio is None else F.concat(hexadecimal(*words), F.lit("/"), F.col("size"))
+    prints = materialize(fingerprints(docs, id_col, text_col, width, n_words, distinct).withColumn("node", node), "prints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
+    keys = prints.groupBy("node").agg(F.min(row).alias("least"), *[F.first(w).alias(w) for w in words], F.first("size").alias("size"))
+    nodes = materialize(keys, "nodes")
+    found = links(nodes, n_words, radius, ratio)
+    if ratio is not None:
+        found = similar(docs, nodes, materialize(found.distinct(), "candidates"), id_col, text_col, width, ratio)
+    roots = components(found)
+    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return prints, materialize(rooted.join(firsts, "root").select("node", "first"), "named")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2,
     n_words: int = 1, distinct: bool = False, ratio: float | None = None,
@@ -270,15 +341,34 @@ def near_duplicates(
     Repeated rows share a fingerprint. Extra columns are ignored, whatever their
     names. An empty table gives no rows.
     """
-    words = [f"w{k}" for k in range(n_words)]
-    node = hexadecimal(*words) if ratio is None else F.concat(hexadecimal(*words), F.lit("/"), F.col("size"))
-    prints = materialize(fingerprints(docs, id_col, text_col, width, n_words, distinct).withColumn("node", node), "prints")
-    keys = prints.groupBy("node").agg(
-        F.min("doc_id").alias("least"), *[F.first(w).alias(w) for w in words], F.first("size").alias("size")
-    )
-    nodes = materialize(keys, "nodes")
-    roots = components(links(nodes, n_words, radius, ratio))
-    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(named, "root").select("node", "component_id"), "named")
-    return prints.join(named, "node").select("doc_id", hexadecimal(*words).alias("fingerprint"), "component_id")
+    prints, named = grouped(docs, id_col, text_col, width, radius, n_words, distinct, ratio)
+    fingerprint = hexadecimal(*[f"w{k}" for k in range(n_words)])
+    return prints.join(named, "node").select("doc_id", fingerprint.alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = RADIUS_80,
+    n_words: int = 4, ratio: float | None = 0.8,
+) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: the smallest id, null ids last.
+
+    By default texts are linked whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more: 256-bit fingerprints that differ in RADIUS_80 bits
+    at most, of texts whose numbers of shingles allow it, are candidates, and the
+    sets decide. Of rows equal in id and text one stays. Empty and null texts are
+    one group.
+    """
+    _, named = grouped(docs, id_col, text_col, width, radius, n_words, True, ratio)
+    chosen = named.select("first.*").distinct()
+    taken = {c.lower() for c in docs.columns}
+    prefix = "_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    text = F.col(text_col).cast("string")
+    t1, t2 = text_key(text)
+    keyed = docs.withColumns({prefix + "a": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), prefix + "b": F.col(id_col).isNull(), prefix + "c": t1, prefix + "d": t2})
+    names = [prefix + c for c in "abcd"]
+    chosen = materialize(chosen.select(F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("no_id").alias(names[1]), F.col("t1").alias(names[2]), F.col("t2").alias(names[3])), "chosen")
+    kept = keyed.join(chosen, names, "left_semi")
+    once = Window.partitionBy(*names).orderBy(F.lit(0))
+    return kept.withColumn(prefix + "n", F.row_number().over(once)).filter(F.col(prefix + "n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -41,7 +41,7 @@ def test_random_tiles_against_brute_force(monkeypatch):
                 row[rng.integers(0, words)] ^= np.uint64(1 << int(rng.integers(0, 64)))
         for split in (90, 40):
             right = None if split == 90 else rows[split:]
-            found = simhash.tile_forest(rows[:split], right, radius)
+            found = simhash.tile_links(rows[:split], right, radius)
             label = list(range(90))
             for p, q in found:
                 assert int(np.bitwise_count(rows[p] ^ rows[q]).sum()) <= radius
@@ -52,6 +52,10 @@ def test_random_tiles_against_brute_force(monkeypatch):
                     if across and int(np.bitwise_count(rows[i] ^ rows[j]).sum()) <= radius:
                         assert label[i] == label[j]
             assert len(found) == len({*range(90)}) - len(set(label))
+            every = {(i, j) for j in range(90) for i in range(j) if (right is None or i < split <= j) and int(np.bitwise_count(rows[i] ^ rows[j]).sum()) <= radius}
+            assert {tuple(sorted(e)) for e in simhash.tile_links(rows[:split], right, radius, degree=90)} == every
+            some = {tuple(sorted(e)) for e in simhash.tile_links(rows[:split], right, radius, degree=3)}
+            assert some <= every and {tuple(sorted(e)) for e in found} <= every
 
 
 @pytest.mark.parametrize("radius", [2, 12])
