@@ -1,25 +1,6 @@
 """All registered queries of the reference's operators, with their SQL oracles."""
 
-from __future__ import annotations
+from sievelake.plans import text_queries  # noqa: F401
+from sievelake.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from sievelake.plans import flagship
-from sievelake.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-SPACES = "\\t-\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
-NORMAL = "regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[" + SPACES + "]+$', '')"
-
-QUERIES["exact_dedup_split"] = lambda spark, d: flagship.exact_dedup_split(table(spark, d, "documents"))
-ORACLE["exact_dedup_split"] = f"""
-WITH h AS (SELECT doc_id, lang, source, sha256({NORMAL}) AS digest FROM documents),
-k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY digest ORDER BY doc_id) = 1),
-s AS (SELECT CASE WHEN ('0x' || substr(sha256('42:repository' || chr(0) || source), 1, 16))::UBIGINT::DOUBLE
-             / 18446744073709551616.0 < 0.2 THEN 'val' ELSE 'train' END AS split, lang FROM k)
-SELECT split, lang, count(*) AS n_docs FROM s GROUP BY split, lang
-"""
+__all__ = ["ORACLE", "QUERIES"]

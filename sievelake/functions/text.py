@@ -45,3 +45,50 @@ def shingles(tokens: Column, width: int, keep_short: bool = False) -> Column:
     short = F.array(F.array_join(tokens, " ")) if keep_short else F.array().cast("array<string>")
     none = F.array().cast("array<string>")
     return F.when(count >= width, F.array_distinct(windows)).when(count > 0, short).otherwise(none)
+
+
+def header(repository: Column, path: Column) -> Column:
+    return F.concat(F.lit("<repo>"), repository, F.lit("<file>"), path, F.lit("\n"))
+
+
+def strip_header(text: Column, expected: Column) -> Column:
+    """The text after its header; null if it doesn't begin with it."""
+    return F.when(text.startswith(expected), F.substring(text, F.length(expected) + 1, F.length(text)))
+
+
+def adjacent_repeat(tokens: Column, least: int = 3, most: int = 11) -> Column:
+    """At least 12 tokens, and some window of ``least`` to ``most`` of them directly repeated."""
+
+    def repeats(size: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - 2 * size + 1, F.lit(1)))
+        same = F.exists(starts, lambda i: F.slice(tokens, i, size) == F.slice(tokens, i + size, size))
+        return (2 * size <= F.size(tokens)) & same
+
+    return (F.size(tokens) >= 12) & F.exists(F.sequence(F.lit(least), F.lit(most)), repeats)
+
+
+def phrase_repeat(text: Column) -> Column:
+    """A phrase of eight or more characters three times in a row."""
+    return text.rlike(r"(?s)(.{8,}?)\1{2,}")
+
+
+def extract_code(text: Column) -> Column:
+    """struct(code, extraction): the first fenced block, else text that looks like code, else null."""
+    fenced = r"(?s)```(?:[A-Za-z0-9_+.-]+)?\s*\n(.*?)```"
+    plausible = r"(?m)^\s*(?:def |class |from |import |return\b|print\(|for\b|if\b|while\b|[A-Za-z_]\w*\s*=)"
+    trim = lambda c: F.btrim(c, F.lit("\r\n"))
+    kind = F.when(text.rlike(fenced), "fenced").when(text.rlike(plausible), "raw").otherwise("no_code")
+    code = F.when(kind == "fenced", trim(F.regexp_extract(text, fenced, 1))).when(kind == "raw", trim(text))
+    return F.struct(code.alias("code"), kind.alias("extraction"))
+
+
+def leaked_lines(patch: Column, description: Column, least: int = 24) -> Column:
+    """Distinct stripped lines of at least ``least`` characters that the description contains, whatever their case."""
+    lines = F.transform(F.split(patch, "\n"), lambda x: F.btrim(x))
+    return F.array_sort(F.array_distinct(F.filter(lines, lambda x: (F.length(x) >= least) & F.contains(F.lower(description), F.lower(x)))))
+
+
+def redact_home(text: Column) -> Column:
+    """User folders become ``~``."""
+    pattern = r"(?i)(?<![A-Za-z0-9_./\\])(?:[A-Z]:[/\\]+Users[/\\]+[A-Za-z0-9][A-Za-z0-9_.@ -]*|/(?:home|Users)/[A-Za-z0-9][A-Za-z0-9_.@-]*)"
+    return F.regexp_replace(text, pattern, "~")
