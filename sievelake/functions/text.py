@@ -5,6 +5,8 @@ Character classes are spelled out, because Java's ``\\w`` and ``\\s`` are ASCII
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,19 +34,25 @@ def code_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CODE_TOKEN), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: what a lambda refers to is otherwise evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(tokens: Column, width: int, keep_short: bool = False) -> Column:
     """Distinct ``width``-token windows joined by a space.
 
     Fewer tokens than ``width`` give none, or with ``keep_short`` one shingle of all tokens.
     """
-    count = F.size(tokens)
-    windows = F.transform(
-        F.sequence(F.lit(1), count - width + 1),
-        lambda i: F.array_join(F.slice(tokens, i, F.lit(width)), " "),
-    )
-    short = F.array(F.array_join(tokens, " ")) if keep_short else F.array().cast("array<string>")
     none = F.array().cast("array<string>")
-    return F.when(count >= width, F.array_distinct(windows)).when(count > 0, short).otherwise(none)
+
+    def windows(t: Column) -> Column:
+        count = F.size(t)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(count - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(width)), " "))
+        short = F.array(F.array_join(t, " ")) if keep_short else none
+        return F.when(count >= width, F.array_distinct(every)).when(count > 0, short).otherwise(none)
+
+    return let(tokens, windows)
 
 
 def header(repository: Column, path: Column) -> Column:
@@ -59,12 +67,15 @@ def strip_header(text: Column, expected: Column) -> Column:
 def adjacent_repeat(tokens: Column, least: int = 3, most: int = 11) -> Column:
     """At least 12 tokens, and some window of ``least`` to ``most`` of them directly repeated."""
 
-    def repeats(size: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - 2 * size + 1, F.lit(1)))
-        same = F.exists(starts, lambda i: F.slice(tokens, i, size) == F.slice(tokens, i + size, size))
-        return (2 * size <= F.size(tokens)) & same
+    def found(t: Column) -> Column:
+        def repeats(size: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(t) - 2 * size + 1, F.lit(1)))
+            same = F.exists(starts, lambda i: F.slice(t, i, size) == F.slice(t, i + size, size))
+            return (2 * size <= F.size(t)) & same
+
+        return (F.size(t) >= 12) & F.exists(F.sequence(F.lit(least), F.lit(most)), repeats)
 
-    return (F.size(tokens) >= 12) & F.exists(F.sequence(F.lit(least), F.lit(most)), repeats)
+    return let(tokens, found)
 
 
 def phrase_repeat(text: Column) -> Column:
@@ -85,7 +96,8 @@ def extract_code(text: Column) -> Column:
 def leaked_lines(patch: Column, description: Column, least: int = 24) -> Column:
     """Distinct stripped lines of at least ``least`` characters that the description contains, whatever their case."""
     lines = F.transform(F.split(patch, "\n"), lambda x: F.btrim(x))
-    return F.array_sort(F.array_distinct(F.filter(lines, lambda x: (F.length(x) >= least) & F.contains(F.lower(description), F.lower(x)))))
+    kept = let(F.lower(description), lambda text: F.filter(lines, lambda x: (F.length(x) >= least) & F.contains(text, F.lower(x))))
+    return F.array_sort(F.array_distinct(kept))
 
 
 def redact_home(text: Column) -> Column:

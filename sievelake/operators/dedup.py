@@ -11,3 +11,34 @@ def exact_dedup(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     prune each key on the map side, so that a hot key moves one row per task."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
+
+
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def differences(seen: DataFrame, expected: DataFrame) -> DataFrame:
+    """Rows that only one side has."""
+    missing = expected.exceptAll(seen).select(F.lit("missing").alias("side"), "*")
+    return missing.unionByName(seen.exceptAll(expected).select(F.lit("unexpected").alias("side"), "*"))
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Rows of all frames; columns that a frame lacks are null."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
+
+
+def admission(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, digest, split) with the first ``reason`` against each: source not in the plan or not
+    reviewed, a training copy of held-out text, a later copy in its split."""
+    held = rows.filter("split = 'val'").select("digest").distinct().withColumn("held", F.lit(True))
+    joined = rows.join(plan.withColumn("planned", F.lit(True)), "source", "left").join(held, "digest", "left")
+    early = F.when(F.col("planned").isNull(), "not_in_plan").when(~F.col("reviewed"), "license").when((F.col("split") == "train") & F.col("held"), "held_out_duplicate")
+    marked = joined.withColumn("early", early)
+    first = marked.filter("early IS NULL").groupBy("split", "digest").agg(F.min("doc_id").alias("first"))
+    marked = marked.join(first, ["split", "digest"], "left")
+    return marked.withColumn("reason", F.coalesce("early", F.when(F.col("doc_id") != F.col("first"), "exact_duplicate"))).select("doc_id", "reason")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelake.functions import scalars
+from sievelake.functions.text import let
 
 #: Detectors, folders and texts that the rules look for.
 SECRETS = {
@@ -128,8 +129,7 @@ def quality_reason(body: Column) -> Column:
     only if sorted lines hold it at the middle, so one scan of the sorted array counts it."""
     solid = F.regexp_replace(body, r"\s+", "")
     lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\u000b"))), lambda x: x != "")
-    middle = F.element_at(F.array_sort(lines), (F.size(lines) / 2).cast("int") + 1)
-    alike = F.size(F.filter(lines, lambda x: x == middle)) / F.size(lines) > 0.8
+    alike = let(F.array_sort(lines), lambda s: let(F.try_element_at(s, (F.size(s) / 2).cast("int") + 1), lambda middle: F.size(F.filter(s, lambda x: x == middle)) / F.size(s) > 0.8))
     letters = F.length(F.regexp_replace(body, r"[^\p{L}\p{N}]+", ""))
     return first_reason([
         ("low_information_under64_nonwhitespace_chars", F.length(solid) < 64),

@@ -1,0 +1,70 @@
+"""Fill-in-the-middle rewriting and dependency contexts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sievelake.functions.hashing import hash_number_between, prefix_number, sha256_hex
+
+#: Markers, languages and format name of the rewriting.
+MARKERS = ("<fim_prefix>", "<fim_suffix>", "<fim_middle>")
+LANGUAGES = ["Python", "JavaScript", "TypeScript", "C", "C++", "Rust", "Java", "C#", "Go", "SQL", "Bash", "HTML/CSS"]
+FORMAT = "psm_literal_markers_v1"
+
+
+def has_marker(body: Column) -> Column:
+    out = F.lit(False)
+    for marker in MARKERS:
+        out = out | F.contains(body, F.lit(marker))
+    return out
+
+
+def eligible(kind: Column, language: Column, body: Column, least: int = 128) -> Column:
+    return (kind == "code") & language.isin(LANGUAGES) & (F.length(body) >= least) & ~has_marker(body)
+
+
+def fill_in_middle(rows: DataFrame, body: str, allowed: Column, identity: Column, ratio: float) -> DataFrame:
+    """``rows`` with ``applied``, ``cut_unit``, ``start``, ``stop`` and ``text`` (prefix, suffix, middle behind markers).
+
+    Cuts are drawn from the identity's hash: line ends if there are two inside the
+    text, else characters. Texts that aren't chosen stay as they are.
+    """
+    c = F.col
+    drawn = rows.withColumn("_hash", sha256_hex(identity)).withColumn("applied", allowed & (prefix_number(c("_hash")).cast("double") / 2.0**64 < ratio))
+    lengths = F.transform(F.split(body, "\n"), lambda x: F.length(x) + 1)
+    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array((F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n).cast("int"))))
+    drawn = drawn.withColumn("_ends", F.filter(ends, lambda e: e < F.length(body)))
+    n = F.size("_ends").cast("long")
+    drawn = drawn.withColumn("_lines", n >= 2)
+    size = F.length(body).cast("long")
+    a = F.when(c("_lines"), hash_number_between(c("_hash"), 16, n - 1)).otherwise(1 + hash_number_between(c("_hash"), 16, F.greatest(size - 2, F.lit(1))))
+    drawn = drawn.withColumn("_a", a)
+    b = c("_a") + 1 + F.when(c("_lines"), hash_number_between(c("_hash"), 32, F.greatest(n - c("_a") - 1, F.lit(1)))).otherwise(hash_number_between(c("_hash"), 32, F.greatest(size - c("_a") - 1, F.lit(1))))
+    drawn = drawn.withColumn("_b", b)
+    spot = lambda x: F.when(c("_lines"), F.try_element_at("_ends", (c(x) + 1).cast("int"))).otherwise(c(x))
+    drawn = drawn.withColumns({"start": F.when(c("applied"), spot("_a").cast("long")), "stop": F.when(c("applied"), spot("_b").cast("long"))})
+    cut = lambda x, y: F.substring(F.col(body), (x + 1).cast("int"), (y - x).cast("int"))
+    moved = F.concat(F.lit(MARKERS[0]), cut(F.lit(0), c("start")), F.lit(MARKERS[1]), cut(c("stop"), size), F.lit(MARKERS[2]), cut(c("start"), c("stop")))
+    unit = F.when(c("applied"), F.when(c("_lines"), "line_boundary").otherwise("unicode_character"))
+    return drawn.withColumns({"cut_unit": unit, "fim_text": F.when(c("applied"), moved).otherwise(c(body))}).drop("_hash", "_ends", "_lines", "_a", "_b")
+
+
+def restore(fim_text: Column, applied: Column) -> Column:
+    """The text before the rewriting."""
+    parts = r"(?s)^<fim_prefix>(.*?)<fim_suffix>(.*?)<fim_middle>(.*)$"
+    part = lambda i: F.regexp_extract(fim_text, parts, i)
+    return F.when(applied, F.concat(part(1), part(3), part(2))).otherwise(fim_text)
+
+
+def dependency_contexts(anchors: DataFrame, key: str, size: str, neighbours: DataFrame, most: int = 3, budget: int = 8192) -> DataFrame:
+    """Anchors with up to ``most`` neighbours in order, each added if the total stays within the budget; two files at least.
+    ``neighbours``: key, neighbour, neighbour_size; an anchor's candidates are cut to what the order can still add."""
+    listed = neighbours.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("neighbour", "neighbour_size"))).alias("near"))
+    start = F.struct(F.col(size).cast("long").alias("total"), F.array().cast("array<long>").alias("files"))
+    add = lambda s, x: F.when(
+        (F.size(s["files"]) < most) & (s["total"] + x["neighbour_size"] <= budget),
+        F.struct((s["total"] + x["neighbour_size"]).alias("total"), F.concat(s["files"], F.array(x["neighbour"])).alias("files")),
+    ).otherwise(s)
+    made = anchors.filter(F.col(size) <= budget).join(listed, key).withColumn("s", F.aggregate("near", start, add))
+    return made.filter(F.size("s.files") > 0).select(key, F.col("s.total").alias("total"), F.col("s.files").alias("files"))

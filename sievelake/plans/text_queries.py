@@ -197,8 +197,7 @@ def repetition_flags(spark, d):
     """Texts in which a window of 3 to 11 tokens is directly repeated."""
     more = F.when(F.col("conv_id") % 5 == 0, " x y z x y z a b c d e f").otherwise("")
     tokens = text.lexemes(F.lower(F.concat("text", more)))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", tokens.alias("w"))
-    return rows.select("conv_id", "turn", text.adjacent_repeat(F.col("w")).alias("repeats"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.adjacent_repeat(tokens).alias("repeats"))
 
 
 @register("phrase_repetition")
