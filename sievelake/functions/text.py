@@ -6,6 +6,8 @@ Character classes are spelled out, because Java's ``\\w`` and ``\\s`` are ASCII
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ def shingles(tokens: Column, width: int, keep_short: bool = False) -> Column:
 
     def windows(t: Column) -> Column:
         count = F.size(t)
-        every = F.transform(F.sequence(F.lit(1), F.greatest(count - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(width)), " "))
+        every = F.transform(F.sequence(F.lit(1), F.greatest(count - width + 1, F.lit(1))), lambda i: F.concat_ws(" ", *[F.get(t, i + k - 1) for k in range(width)]))
         short = F.array(F.array_join(t, " ")) if keep_short else none
         return F.when(count >= width, F.array_distinct(every)).when(count > 0, short).otherwise(none)
 
@@ -68,12 +70,12 @@ def adjacent_repeat(tokens: Column, least: int = 3, most: int = 11) -> Column:
     """At least 12 tokens, and some window of ``least`` to ``most`` of them directly repeated."""
 
     def found(t: Column) -> Column:
-        def repeats(size: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.size(t) - 2 * size + 1, F.lit(1)))
-            same = F.exists(starts, lambda i: F.slice(t, i, size) == F.slice(t, i + size, size))
-            return (2 * size <= F.size(t)) & same
+        def repeats(size: int) -> Column:
+            starts = F.sequence(F.lit(0), F.greatest(F.size(t) - 2 * size, F.lit(0)))
+            equal = lambda i: reduce(and_, [F.get(t, i + k) == F.get(t, i + k + size) for k in range(size)])
+            return (2 * size <= F.size(t)) & F.exists(starts, equal)
 
-        return (F.size(t) >= 12) & F.exists(F.sequence(F.lit(least), F.lit(most)), repeats)
+        return (F.size(t) >= 12) & reduce(or_, [repeats(size) for size in range(least, most + 1)])
 
     return let(tokens, found)
 

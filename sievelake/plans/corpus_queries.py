@@ -14,10 +14,11 @@ from sievelake.session import table
 
 #: Distinct 5-token shingles of texts that have 64 or more.
 SETS = f"""
-t AS (SELECT doc_id, {LEXEMES} AS l FROM documents),
-sh AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(l) - 3, 1)), lambda i: array_to_string(l[i:i + 4], ' '))) AS s FROM t),
-sets AS (SELECT doc_id, len(s) AS n, s FROM sh WHERE len(s) >= 64),
-flat AS (SELECT doc_id, n, unnest(s) AS g FROM sets),
+tok AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {LEXEMES} AS l FROM documents)),
+win AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p || ' ' || lead(w, 4) OVER p AS g FROM tok WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+uniq AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM win WHERE g IS NOT NULL),
+sizes AS (SELECT doc_id, count(*) AS n FROM uniq GROUP BY 1 HAVING count(*) >= 64),
+flat AS MATERIALIZED (SELECT doc_id, n, g FROM uniq JOIN sizes USING (doc_id) WHERE g IN (SELECT g FROM uniq GROUP BY g HAVING count(*) > 1)),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM flat x JOIN flat y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 pairs AS (SELECT a, b, c / (na + nb - c) AS jaccard FROM common WHERE c / (na + nb - c) >= 0.85)"""
 

@@ -171,13 +171,13 @@ def moving_average_21(spark, d):
 
 
 @register("log_window_rates", """
-SELECT event_id, round((value - lag(value) OVER w) / nullif(epoch(ts - lag(ts) OVER w), 0), 6) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
+SELECT event_id, round((value - lag(value) OVER w) / nullif(epoch(ts - lag(ts) OVER w), 0), 6) + 0.0 AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
 """)
 def log_window_rates(spark, d):
     """Change of a counter over the seconds since the row before."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)) / 1e6
-    return table(spark, d, "events").select("event_id", F.round(F.try_divide(F.col("value") - F.lag("value").over(w), F.nullif(seconds, F.lit(0.0))), 6).alias("rate"))
+    return table(spark, d, "events").select("event_id", (F.round(F.try_divide(F.col("value") - F.lag("value").over(w), F.nullif(seconds, F.lit(0.0))), 6) + 0.0).alias("rate"))
 
 
 @register("weighted_loss", """
