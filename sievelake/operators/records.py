@@ -55,7 +55,7 @@ def tests_turn(tests: Column, before: str, after: str) -> Column:
     return (F.size(tests) > 0) & F.forall(tests, lambda t: (t.before_status == before) & (t.after_status == after))
 
 
-def forge_reason() -> Column:
+def repair_reason() -> Column:
     """The first thing that keeps a repair task from being accepted."""
     return first_reason([
         ("fail_to_pass", ~tests_turn(F.col("fail_to_pass"), "FAIL", "PASS")), ("pass_to_pass", ~tests_turn(F.col("pass_to_pass"), "PASS", "PASS")),

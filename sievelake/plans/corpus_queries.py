@@ -60,8 +60,7 @@ SELECT doc_id, NOT list_contains((SELECT dropped FROM w ORDER BY r DESC LIMIT 1)
 """)
 def near_dup_greedy_kept(spark, d):
     """In order of id, a text stays unless a text that stays is its near-duplicate."""
-    pairs = neardup.similar_pairs(sets(spark, d), "doc_id")
-    return neardup.greedy_keep(table(spark, d, "documents").select("doc_id"), pairs, "doc_id")
+    return neardup.greedy_near_dedup(table(spark, d, "documents"), "doc_id", "text")
 
 
 @register("families_union_find", f"""

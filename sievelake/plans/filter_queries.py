@@ -157,11 +157,11 @@ def acceptance_gate(spark, d):
     return rows.groupBy(valid.alias("valid"), accepted.alias("accepted")).agg(F.count("*").alias("n"))
 
 
-@register("forge_gate", """
+@register("repair_gate", """
 WITH t AS (SELECT doc_id, doc_id % 4 <> 0 AS f, doc_id % 5 <> 0 AS p, doc_id % 6 <> 0 AS env, quality = 1 AS critic, toxic = 0 AS inspected FROM labels)
 SELECT coalesce(CASE WHEN NOT f THEN 'fail_to_pass' WHEN NOT p THEN 'pass_to_pass' WHEN NOT env THEN 'environment_mismatch' WHEN NOT critic THEN 'critic_rejected' WHEN NOT inspected THEN 'diff_not_inspected' END, 'accepted') AS reason, count(*) AS n FROM t GROUP BY 1
 """)
-def forge_gate(spark, d):
+def repair_gate(spark, d):
     """Repair tasks: broken tests that pass afterwards, and the first reason against each."""
     n = F.col("doc_id")
     case = lambda before, after: F.array(F.struct(F.lit("t").alias("test_id"), before.alias("before_status"), after.alias("after_status")))
@@ -169,7 +169,7 @@ def forge_gate(spark, d):
         case(F.lit("FAIL"), F.when(n % 4 != 0, "PASS").otherwise("FAIL")).alias("fail_to_pass"), case(F.lit("PASS"), F.when(n % 5 != 0, "PASS").otherwise("FAIL")).alias("pass_to_pass"),
         F.lit("e").alias("environment_before"), F.when(n % 6 != 0, "e").otherwise("x").alias("environment_after"), (F.col("quality") == 1).alias("critic_passed"), (F.col("toxic") == 0).alias("diff_inspected"),
     )
-    return rows.groupBy(F.coalesce(records.forge_reason(), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.coalesce(records.repair_reason(), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @register("stop_pairs", """
