@@ -8,8 +8,12 @@ exclusive-or and bit counts, in small sub-tiles, skipping pairs of sub-tiles
 whose population counts, segment by segment, differ beyond the radius. A group
 returns a spanning forest of its links, never all pairs, and the forests are
 merged by alternating stars, so that nothing of the size of the corpus meets on
-the driver or in one task. In similarity mode the fingerprints are candidates,
-and an exact comparison of the shingle sets decides.
+the driver or in one task.
+
+In similarity mode the components of the fingerprints are candidates: within
+each, the shingle sets themselves are compared (``verified_links``), every pair
+of texts that isn't connected already, so no true link of a candidate component
+is lost, however dense it is.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.batches import bounded, byte_view, slices
+from sievelake.llm.batches import bounded, byte_view, gather, slices
+from sievelake.llm.skew import join_counted
 from sievelake.llm.words import lower_ascii, word_spans
 from sievelake.session import materialize
 
@@ -32,9 +37,8 @@ TILE, SUB, BLOCK = 16384, 256, 65_025
 #: Differing bits of 256 within which texts of similarity 0.8 fall: their fingerprints differ in 39 on
 #: average (angle arccos(8/9) of pi) with a deviation of 5.7; unrelated texts differ in 128.
 RADIUS_80 = 54
-#: In similarity mode all links of rows with so many or fewer in a pair of tiles are checked; rows of denser
-#: groups are linked to the closest first, level by level, by as many links as connect them.
-DEGREE = 32
+#: Shingle hashes and sets of a tile of exact comparison; representatives of a group of similar texts that meet other tiles.
+SET_TILE, SETS_PER_TILE, REPRESENTATIVES = 1 << 20, 4096, 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,12 +118,12 @@ def hexadecimal(*words: str) -> Column:
     return F.concat(*[F.lower(F.lpad(F.hex(F.col(w)), 16, "0")) for w in words])
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, sizes: tuple | None = None, ratio: float = 0.0, degree: int = 0) -> list[tuple[int, int]]:
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, sizes: tuple | None = None, ratio: float = 0.0) -> list[tuple[int, int]]:
     """Links between two tiles of fingerprints (rows of 64-bit words), or within one (``right`` None).
 
     Indices count the left rows first, then the right ones. With ``ratio``, sizes
     of linked rows differ by that ratio at most. The links returned are a spanning
-    forest, closest rows first, and all links of rows that have ``degree`` or fewer.
+    forest of all links.
     """
     both = left if right is None else np.concatenate([left, right])
     n, words = both.shape
@@ -151,7 +155,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, sizes: t
             d = np.where(np.tri(len(rows_a), dtype=bool), radius + 1, d)
         return d
 
-    near, degrees = [], np.zeros(n, np.int64)
+    parent, comp, found = list(range(n)), np.arange(n), []
     for i in range(len(subs_a)):
         gap = np.maximum(0, np.maximum(low_b - high_a[i], low_a[i] - high_b)).sum(axis=1)
         if size is not None:
@@ -160,45 +164,33 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, sizes: t
         for j in np.flatnonzero(gap <= radius).tolist():
             if right is None and j < i:
                 continue
-            d = distances(i, j)
-            hits = d <= radius
-            if hits.any():
-                near.append((i, j))
-                if degree:
-                    degrees[subs_a[i]] += hits.sum(axis=1)
-                    degrees[subs_b[j]] += hits.sum(axis=0)
-    parent, comp, found = list(range(n)), np.arange(n), set()
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    levels = sorted({radius, *range(radius // 6, radius, max(1, radius // 6))}) if degree else [radius]
-    for level in levels:
-        for i, j in near:
             rows_a, rows_b = subs_a[i], subs_b[j]
-            d = distances(i, j)
-            at = np.flatnonzero(d <= level)
+            label = comp[rows_a[0]]
+            if (comp[rows_a] == label).all() and (comp[rows_b] == label).all():
+                continue
+            at = np.flatnonzero(distances(i, j) <= radius)
             u, v = rows_a[at // len(rows_b)], rows_b[at % len(rows_b)]
-            if degree and level == radius:
-                few = (degrees[u] <= degree) | (degrees[v] <= degree)
-                found.update(zip(u[few].tolist(), v[few].tolist()))
             apart = comp[u] != comp[v]
             if not apart.any():
                 continue
             u, v = u[apart], v[apart]
             _, first = np.unique(comp[u] * n + comp[v], return_index=True)
             for p, q in zip(u[first].tolist(), v[first].tolist()):
-                x, y = root(p), root(q)
+                x, y = _root(parent, p), _root(parent, q)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-                    found.add((p, q))
+                    found.append((p, q))
             comp = _settled(parent)
     return sorted(found)
 
 
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
 def _settled(parent: list[int]) -> np.ndarray:
     roots = np.array(parent)
     while True:
@@ -248,8 +240,7 @@ def links(nodes: DataFrame, n_words: int, radius: int, ratio: float | None = Non
         keep = np.concatenate([np.flatnonzero(is_left), np.flatnonzero(~is_left)])
         values, size, n = values[keep], size[keep], int(is_left.sum())
         sizes = None if ratio is None else ((size,) if lo == hi else (size[:n], size[n:]))
-        few = 0 if ratio is None else DEGREE
-        found = tile_links(values if lo == hi else values[:n], None if lo == hi else values[n:], radius, sizes, ratio or 0.0, few) if len(values) > 1 and n else []
+        found = tile_links(values if lo == hi else values[:n], None if lo == hi else values[n:], radius, sizes, ratio or 0.0) if len(values) > 1 and n else []
         name = lambda i: "".join(f"{int(w):016x}" for w in values[i]) + ("" if ratio is None else f"/{size[i]}")
         return pd.DataFrame([(name(i), name(j)) for i, j in found], columns=["a", "b"])
 
@@ -261,11 +252,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder. A round moves every edge towards
     the smallest neighbour; the number of rounds grows with the logarithm of the
-    longest path.
+    longest path. A node with very many edges, as each root has, meets its
+    smallest neighbour by broadcast.
     """
     def stars(pairs: DataFrame) -> DataFrame:
-        least = materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        return pairs.join(least, "u")
+        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        return join_counted(pairs, materialize(least, "least"), ["u"])
 
     edges = materialize(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).filter("a != b").distinct(), "edges")
     seen = None
@@ -283,30 +275,125 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``.
-    Sets are made again for texts that a pair names, from the row that stands for its node."""
+def shingle_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``node``, ``group``, ``set`` (hashes of the distinct shingles): made again for ``members`` (node, group, least), from the row
+    that stands for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            data, offsets = byte_view(batch.column(1))
+            data, offsets = byte_view(batch.column(2))
             data = lower_ascii(data)
             starts, ends, bounds = word_spans(data, offsets)
             raw, a, b, edges = data.tobytes(), starts.tolist(), ends.tolist(), bounds.tolist()
             sets = [shingle_hashes(raw, a[i:j], b[i:j], width, True).view(np.int64) for i, j in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "group", "set"])
 
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    known = nodes.join(named, "node").select("node", F.col("least.no_id").alias("x"), F.coalesce("least.doc_id", F.lit(0)).alias("i"), F.col("least.t1").alias("t1"), F.col("least.t2").alias("t2"))
+    known = members.select(
+        "node", "group", F.col("least.no_id").alias("x"), F.coalesce("least.doc_id", F.lit(0)).alias("i"), F.col("least.t1").alias("t1"), F.col("least.t2").alias("t2")
+    )
     known = materialize(known, "compared")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).isNull().alias("x"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), *text_key(text), text.alias("text"))
-    texts = rows.join(known.hint("shuffle_hash"), ["x", "i", "t1", "t2"]).select("node", "text")
-    sets = bounded(texts).mapInArrow(run, "node string, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("common", common).filter(F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    texts = rows.join(known.hint("shuffle_hash"), ["x", "i", "t1", "t2"]).select("node", "group", "text")
+    sets = bounded(texts).mapInArrow(run, "node string, group string, set array<long>")
+    return materialize(sets.groupBy("node").agg(F.first("group").alias("group"), F.first("set").alias("set")), "sets")
+
+
+def set_forest(flat: np.ndarray, bounds: np.ndarray, least: float, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Links of sets (``flat[bounds[i]:bounds[i + 1]]``) with a Jaccard similarity of at least ``least`` that connect
+    what all such links connect, given that sets of equal ``labels`` are connected."""
+    n, sizes, comp, found = len(bounds) - 1, np.diff(bounds), labels.copy(), []
+    if n < 2 or (comp == comp[0]).all():
+        return found
+    _, codes = np.unique(flat, return_inverse=True)
+    counts = np.bincount(codes)
+    rows = np.repeat(np.arange(n), sizes)[np.argsort(codes, kind="stable")]
+    first = np.cumsum(counts) - counts
+    for x in np.argsort(-sizes, kind="stable").tolist():
+        open_ = (comp != comp[x]) & (sizes >= least * sizes[x]) & (sizes * least <= sizes[x])
+        if not open_.any():
+            continue
+        mine = codes[bounds[x] : bounds[x + 1]]
+        if sizes[x]:
+            common = np.bincount(rows[gather(first[mine], counts[mine])], minlength=n)
+            open_ &= common >= least * (sizes + sizes[x] - common)
+        for y in np.flatnonzero(open_).tolist():
+            if comp[y] != comp[x]:
+                comp[comp == comp[y]] = comp[x]
+                found.append((x, y))
+    return found
+
+
+def _compare(dealt: DataFrame, tile: Column, least: float) -> DataFrame:
+    """Links ``a``, ``b`` among the rows (group, node, set, label) that share a tile, within each of their groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        group = table.column("group").combine_chunks().dictionary_encode().indices.to_numpy()
+        node, label = table.column("node").to_pylist(), table.column("label").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        sets = table.column("set").combine_chunks()
+        offsets, values = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
+        found: list[tuple[int, int]] = []
+        order = np.argsort(group, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            lengths = offsets[rows + 1] - offsets[rows]
+            links_ = set_forest(values[gather(offsets[rows], lengths)], np.concatenate([[0], np.cumsum(lengths)]), least, label[rows])
+            found += [(rows[x], rows[y]) for x, y in links_]
+        return pa.table({"a": pa.array([node[x] for x, _ in found], pa.string()), "b": pa.array([node[y] for _, y in found], pa.string())})
+
+    return dealt.select(tile.alias("tile"), "group", "node", "label", "set").groupBy("tile").applyInArrow(run, "a string, b string")
+
+
+def verified_links(sets: DataFrame, least: float) -> DataFrame:
+    """Links ``a``, ``b`` between nodes of a group whose ``set`` have a similarity of at least ``least``; they connect what all
+    such links connect. ``sets``: node, group, set.
+
+    Groups within a tile's bounds (nearly all) are compared whole, many in one
+    task. A larger one is dealt to tiles by hash: first each tile is compared,
+    then a few representatives of each set of connected texts, which joins what
+    is dense. Then the texts outside the group's largest set of connected texts
+    meet all tiles, so that every pair not connected has been compared. What is
+    sent grows with the tiles only by the texts outside.
+    """
+    weighed = sets.select("node", "group", F.size("set").cast("long").alias("size"))
+    sums = lambda rows, *by: rows.groupBy(*by).agg(F.greatest(F.ceil(F.sum("size") / SET_TILE), F.ceil(F.count("*") / SETS_PER_TILE), F.lit(1)).cast("int").alias("tiles"))
+    groups = materialize(sums(weighed, "group"), "groups")
+    # At most one group for each tile of all sets: the driver and the broadcasts hold that many rows.
+    large = materialize(groups.filter("tiles > 1"), "large")
+    total = weighed.agg(F.sum("size").alias("s"), F.count("*").alias("n")).first()
+    parts = max(1, -(-(total["s"] or 0) // (2 * SET_TILE)), -(-total["n"] // SETS_PER_TILE))
+    alone = sets.join(F.broadcast(large), "group", "left").withColumn("label", F.col("node"))
+    tile = F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("group"), F.lit(parts))).otherwise(F.xxhash64("group", F.pmod(F.xxhash64("node"), F.col("tiles"))))
+    found = materialize(_compare(alone, tile, least), "verified")
+    if not large.count():
+        return found
+    dense = materialize(alone.filter("tiles IS NOT NULL").drop("label"), "dense")
+
+    def labelled(links_: DataFrame) -> DataFrame:
+        roots = components(links_).withColumnRenamed("root", "label")
+        return materialize(dense.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+
+    once = labelled(found)
+    own = F.pmod(F.xxhash64("node"), F.col("tiles"))
+    place = Window.partitionBy("group", "own", "label").orderBy(F.xxhash64(F.lit(2), "node"), "node")
+    few = once.withColumn("own", own).select("node", "group", "own", "label", F.row_number().over(place).alias("k")).filter(F.col("k") <= REPRESENTATIVES)
+    few = materialize(once.drop("tiles").join(few.select("node"), "node"), "representatives")
+    few = few.join(F.broadcast(sums(few.withColumn("size", F.size("set").cast("long")), "group")), "group")
+    more = _compare(few, F.xxhash64("group", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("tiles"))), least)
+    found = materialize(found.unionByName(more), "verified")
+    twice = labelled(found)
+    main = twice.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    twice = twice.join(F.broadcast(main), "group").withColumn("outside", F.col("label") != F.col("main"))
+    outside = materialize(sums(twice.filter("outside").withColumn("size", F.size("set").cast("long")), "group").withColumnRenamed("tiles", "rest"), "outside")
+    twice = twice.join(F.broadcast(outside), "group")
+    tile_of = lambda n: F.pmod(F.xxhash64(F.lit(4), "node"), F.col(n)).cast("int")
+    # Tiles of the texts outside are numbered 0 .., all others -1, -2 ...
+    among = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda j: F.struct(F.least(j, tile_of("rest")).alias("lo"), F.greatest(j, tile_of("rest")).alias("hi")))
+    across = F.transform(F.sequence(F.lit(1), F.col("tiles")), lambda j: F.struct((-j).alias("lo"), tile_of("rest").alias("hi")))
+    inside = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda j: F.struct((-1 - tile_of("tiles")).alias("lo"), j.alias("hi")))
+    dealt = twice.withColumn("pair", F.explode(F.when(F.col("outside"), F.concat(among, across)).otherwise(inside))).select("group", "node", "label", "set", "pair.*")
+    last = _compare(dealt, F.xxhash64("group", "lo", "hi"), least)
+    return materialize(found.unionByName(last), "verified")
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, n_words: int, distinct: bool, ratio: float | None) -> tuple[DataFrame, DataFrame]:
@@ -315,15 +402,18 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int
     node = hexadecimal(*words) if ratio is None else F.concat(hexadecimal(*words), F.lit("/"), F.col("size"))
     prints = materialize(fingerprints(docs, id_col, text_col, width, n_words, distinct).withColumn("node", node), "prints")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
-    keys = prints.groupBy("node").agg(F.min(row).alias("least"), *[F.first(w).alias(w) for w in words], F.first("size").alias("size"))
+    keys = prints.groupBy("node").agg(F.min(row).alias("least"), *[F.first(w).alias(w) for w in words], F.first("size").alias("size"), F.count("*").alias("n"))
     nodes = materialize(keys, "nodes")
-    found = links(nodes, n_words, radius, ratio)
+    roots = components(links(nodes, n_words, radius, ratio))
     if ratio is not None:
-        found = similar(docs, nodes, materialize(found.distinct(), "candidates"), id_col, text_col, width, ratio)
-    roots = components(found)
-    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    return prints, materialize(rooted.join(firsts, "root").select("node", "first"), "named")
+        roots = materialize(roots, "candidates")
+        both = roots.select("node", F.col("root").alias("group")).union(roots.select("root", "root").distinct())
+        sets = shingle_sets(docs, nodes.select("node", "least").join(both, "node"), id_col, text_col, width)
+        roots = components(verified_links(sets, ratio))
+    rooted = nodes.select("node", "least", "n").join(roots, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    return prints, materialize(join_counted(rooted.withColumnRenamed("n", "rows"), firsts, ["root"]).select("node", "first", F.col("rows").alias("n")), "named")
 
 
 def near_duplicates(
@@ -333,8 +423,9 @@ def near_duplicates(
     """``doc_id``, ``fingerprint``, ``component_id``: one row per row of ``docs``.
 
     Words are lower-cased in A-Z. Fingerprints of ``64 * n_words`` bits link at
-    ``radius`` or fewer differing bits; with ``ratio`` the numbers of shingles
-    must not differ by more than that. ``distinct`` counts each shingle once.
+    ``radius`` or fewer differing bits. With ``ratio`` their components are only
+    candidates: texts link if their sets of shingles have a Jaccard similarity of
+    at least that. ``distinct`` counts each shingle once.
     ``component_id`` is the smallest id that chains of links reach, the row's own
     included; null ids count only where a component has no other, and then it is
     null. Null and empty texts have fingerprint zero and link like any other.
@@ -343,7 +434,7 @@ def near_duplicates(
     """
     prints, named = grouped(docs, id_col, text_col, width, radius, n_words, distinct, ratio)
     fingerprint = hexadecimal(*[f"w{k}" for k in range(n_words)])
-    return prints.join(named, "node").select("doc_id", fingerprint.alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+    return join_counted(prints, named, ["node"]).select("doc_id", fingerprint.alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(
@@ -355,8 +446,9 @@ def keep_one(
     By default texts are linked whose sets of five-word shingles have a Jaccard
     similarity of 0.8 or more: 256-bit fingerprints that differ in RADIUS_80 bits
     at most, of texts whose numbers of shingles allow it, are candidates, and the
-    sets decide. Of rows equal in id and text one stays. Empty and null texts are
-    one group.
+    sets of all texts that chains of candidates connect decide. Of rows equal in
+    id and text the one whose other columns come first as JSON stays. Empty and
+    null texts are one group. An empty table gives no rows.
     """
     _, named = grouped(docs, id_col, text_col, width, radius, n_words, True, ratio)
     chosen = named.select("first.*").distinct()
@@ -370,5 +462,6 @@ def keep_one(
     names = [prefix + c for c in "abcd"]
     chosen = materialize(chosen.select(F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("no_id").alias(names[1]), F.col("t1").alias(names[2]), F.col("t2").alias(names[3])), "chosen")
     kept = keyed.join(chosen, names, "left_semi")
-    once = Window.partitionBy(*names).orderBy(F.lit(0))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    once = Window.partitionBy(*names).orderBy(F.to_json(F.struct(*rest)) if rest else F.lit(0))
     return kept.withColumn(prefix + "n", F.row_number().over(once)).filter(F.col(prefix + "n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
