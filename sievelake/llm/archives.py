@@ -4,7 +4,8 @@ A writer task makes one archive of gzip members, one record each, in the shared
 folder. The reader checks every member and record (compression, version line,
 lengths, block and payload digests). After a failed check it searches for the
 next gzip member or version line that starts a valid record, goes on there and
-logs the bytes between as a quarantined gap.
+logs the bytes between as a quarantined gap. A member may hold many records: the
+same search goes on within its decoded bytes, so one bad record costs no other.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from sievelake.session import materialize, shared_dir
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
+#: Decoded bytes of a member that are kept; a longer one is decoded again, piece by piece.
+KEPT = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "archive string, offset long, stored_bytes long, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, payload binary, gap_reason string"
+RECORDS = "archive string, offset long, stored_bytes long, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, payload binary, gap_reason string, inside_offset long, inside_bytes long"
 
 
 class Damaged(Exception):
@@ -193,48 +196,137 @@ class Salvage:
         self.file.seek(at)
         return self.file.read(n)
 
-    def _member(self, at: int) -> tuple[list[dict], int]:
-        """All records of the gzip member at ``at``, and its end."""
-        unpack, parts, pos = zlib.decompressobj(31), [], at
-        try:
-            while not unpack.eof:
+    def _decoded(self, at: int) -> Iterator[bytes]:
+        """The decoded bytes of the gzip member at ``at`` in pieces; the generator's value is the member's end."""
+        unpack, pos = zlib.decompressobj(31), at
+        while not unpack.eof:
+            chunk = unpack.unconsumed_tail
+            if not chunk:
                 chunk = self._read(pos, CHUNK if pos > at else 1 << 16)
+                pos += len(chunk)
                 if not chunk:
                     raise Damaged("member is cut")
-                parts.append(unpack.decompress(chunk))
-                if pos == at and len(parts[0]) >= 7 and not parts[0].startswith(VERSION):
-                    raise Damaged("member is no record")
-                pos += len(chunk)
-        except zlib.error as error:
-            raise Damaged(f"member fails: {error}") from error
-        data, records, spot = b"".join(parts), [], 0
-        while spot < len(data):
-            head, spot = parse_record(data, spot)
-            records.append(describe(head))
-        if not records:
-            raise Damaged("member is empty")
-        return records, pos - len(unpack.unused_data)
-
-    def _plain(self, at: int) -> tuple[list[dict], int]:
-        """The uncompressed record at ``at``; reads on until it is whole."""
+            before = unpack.copy() if pos - at > 1 << 16 else None
+            try:
+                piece = unpack.decompress(chunk, 4 * CHUNK)
+            except zlib.error as error:
+                yield self._until_error(before or zlib.decompressobj(31), chunk)
+                raise Damaged(f"member fails: {error}") from error
+            if piece:
+                yield piece
+        return pos - len(unpack.unused_data)
+
+    @staticmethod
+    def _until_error(unpack, chunk: bytes) -> bytes:
+        """What a chunk decodes to before the byte that fails."""
+        parts = []
+        try:
+            for at in range(len(chunk)):
+                parts.append(unpack.decompress(chunk[at : at + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts)
+
+    def _member(self, at: int) -> tuple[Iterator[tuple[int, int, dict | str]], int, str | None]:
+        """The records and gaps (place and length in the decoded bytes) of the gzip member at ``at``, its end, and what is wrong
+        with the member itself. Raises Damaged if no record can be had from it."""
+        parts, size, end, problem = [], 0, at, None
+        pieces = self._decoded(at)
+        while True:
+            try:
+                piece = next(pieces)
+            except StopIteration as over:
+                end = over.value
+                break
+            except Damaged as damage:
+                problem = str(damage)
+                break
+            size += len(piece)
+            if size <= KEPT:
+                parts.append(piece)
+        again = (lambda: iter(parts)) if size <= KEPT else lambda: self._again(at)
+        scan = lambda: self._inside(again(), problem is not None)
+        first = next((w for _, _, w in scan() if isinstance(w, dict)), None) if size > KEPT or problem else None
+        if first is None and (size > KEPT or problem):
+            raise Damaged(problem or "member has no record")
+        if problem and not any(isinstance(w, str) for _, _, w in scan()):
+            # The member fails and each record verifies: the damage may be in any header.
+            raise Damaged(problem)
+        if size <= KEPT:
+            found = list(scan())
+            if not any(isinstance(w, dict) for _, _, w in found):
+                raise Damaged(next((w for _, _, w in found), "member is empty"))
+            return iter(found), end, problem
+        return scan(), end, problem
+
+    def _again(self, at: int) -> Iterator[bytes]:
+        try:
+            yield from self._decoded(at)
+        except Damaged:
+            return
+
+    @staticmethod
+    def _inside(pieces: Iterator[bytes], strict: bool) -> Iterator[tuple[int, int, dict | str]]:
+        """Records and gaps of decoded bytes, with place and length; holds one record at a time. ``strict`` takes only
+        records that state a block digest."""
+        data, base, gap, reason, more = b"", 0, None, "", True
+
+        def fetch() -> bool:
+            nonlocal data, more
+            piece = next(pieces, None)
+            more = piece is not None
+            data += piece or b""
+            return more
+
+        while True:
+            try:
+                while len(data) < len(VERSION) and fetch():
+                    pass
+                if not data:
+                    break
+                if data.startswith(VERSION):
+                    while (need := _length(data)) is None and fetch():
+                        pass
+                    missing, parts = (need or 0) - len(data), []
+                    while missing > 0 and (piece := next(pieces, None)) is not None:
+                        parts.append(piece)
+                        missing -= len(piece)
+                    data += b"".join(parts)
+                head, stop = parse_record(data)
+                if strict and not head.get("warc-block-digest"):
+                    raise Damaged("record in a damaged member states no digest")
+                record = describe(head)
+            except Damaged as problem:
+                if gap is None:
+                    gap, reason = base, str(problem)
+                at = data.find(VERSION, 1)
+                while at < 0:
+                    keep = min(len(data), len(VERSION) - 1)
+                    base, data = base + len(data) - keep, data[len(data) - keep :]
+                    if not fetch():
+                        base, data, at = base + len(data), b"", 0
+                        break
+                    at = data.find(VERSION, 1 if keep == len(data) else 0)
+                base, data = base + at, data[at:]
+                continue
+            if gap is not None:
+                yield gap, base - gap, reason
+                gap = None
+            yield base, stop, record
+            base, data = base + stop, data[stop:]
+        if gap is not None:
+            yield gap, base - gap, reason
+
+    def _plain(self, at: int) -> tuple[dict, int]:
+        """The uncompressed record at ``at``, read on until it is whole, and its end."""
         want, data = 1 << 16, b""
         while True:
             data = self._read(at, want)
-            end = data.find(b"\r\n\r\n")
-            stated = re.search(rb"(?im)^content-length:[ \t]*(\d{1,18})\r?$", data[: max(end, 0) + 2])
-            need = end + 8 + int(stated[1]) if end >= 0 and stated else want * 2
-            if len(data) >= need or len(data) < want or need > self.size - at and end >= 0:
+            need = _length(data)
+            if need is not None and (len(data) >= need or need > self.size - at) or len(data) < want:
                 head, stop = parse_record(data)
-                return [describe(head)], at + stop
-            want = max(need, want * 2 if end < 0 else need)
-
-    def _at(self, at: int) -> tuple[list[dict], int]:
-        magic = self._read(at, 8)
-        if magic.startswith(GZIP):
-            return self._member(at)
-        if magic.startswith(VERSION):
-            return self._plain(at)
-        raise Damaged("neither a member nor a version line")
+                return describe(head), at + stop
+            want = max(need or 0, want * 2 if need is None else 0)
 
     def _next_start(self, at: int) -> int:
         """The first place from ``at`` on that looks like a member or a version line."""
@@ -246,30 +338,53 @@ class Salvage:
             at += CHUNK
         return self.size
 
-    def __iter__(self) -> Iterator[tuple[int, int, dict | str]]:
-        """(offset, bytes, record) of each record, (offset, bytes, reason) of each gap, in order."""
+    def __iter__(self) -> Iterator[tuple[int, int, dict | str, int | None, int | None]]:
+        """(offset, bytes, record or a gap's reason, place inside, bytes inside) in order of offsets. ``bytes`` are the file's bytes
+        that the row accounts for: rows add up to the file, so of the rows of one member the first has them all. The places inside
+        are those in a member's decoded bytes; they are None for plain records and for gaps between members."""
         at, gap, reason = 0, None, ""
         while at < self.size:
+            magic, problem = self._read(at, 8), None
             try:
-                records, end = self._at(at)
-            except Damaged as problem:
+                if magic.startswith(GZIP):
+                    found, end, problem = self._member(at)
+                elif magic.startswith(VERSION):
+                    record, end = self._plain(at)
+                    found = iter([(None, None, record)])
+                else:
+                    raise Damaged("neither a member nor a version line")
+            except Damaged as damage:
                 if gap is None:
-                    gap, reason = at, str(problem)
+                    gap, reason = at, str(damage)
                 at = self._next_start(at + 1)
                 continue
             if gap is not None:
-                yield gap, at - gap, reason
+                yield gap, at - gap, reason, None, None
                 gap = None
-            for record in records:
-                yield at, end - at, record
-            at = end
+            stored = 0 if problem else end - at
+            for place, length, what in found:
+                yield at, stored, what, place, length
+                stored = 0
+            if problem:
+                gap, reason, at = at, problem, self._next_start(at + 1)
+            else:
+                at = end
         if gap is not None:
-            yield gap, self.size - gap, reason
+            yield gap, self.size - gap, reason, None, None
+
+
+def _length(data: bytes) -> int | None:
+    """Bytes of the record that begins the data, as its headers state; None as long as they don't."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    stated = re.search(rb"(?im)^content-length:[ \t]*(\d{1,18})\r?$", data[: end + 2])
+    return end + 8 + int(stated[1]) if stated else 0
 
 
 def _rows(archive: str, file, size: int, keep_payload: bool) -> Iterator[dict]:
-    for offset, stored, what in Salvage(file, size):
-        row = {"archive": archive, "offset": offset, "stored_bytes": stored}
+    for offset, stored, what, place, length in Salvage(file, size):
+        row = {"archive": archive, "offset": offset, "stored_bytes": stored, "inside_offset": place, "inside_bytes": length}
         if isinstance(what, str):
             row |= {"record_type": "gap", "gap_reason": what}
         else:
@@ -295,7 +410,11 @@ def read_archives(paths: DataFrame, keep_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives in column ``path`` (URIs that pyarrow opens: file, hdfs, s3, gs).
 
     Gaps have ``record_type`` 'gap' and ``gap_reason``; ``offset`` and
-    ``stored_bytes`` tell the quarantined bytes. An empty file gives no rows.
+    ``stored_bytes`` tell the quarantined bytes, ``inside_offset`` and
+    ``inside_bytes`` those of a gap within a member's decoded bytes. A member whose
+    checksum fails gives the records that verify by themselves, and a gap. An
+    empty file gives no rows, nor do null paths; a path that occurs twice is read
+    twice; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +426,7 @@ def read_archives(paths: DataFrame, keep_payload: bool = True) -> DataFrame:
                 with files.open_input_file(place) as file:
                     yield from _batched(_rows(path, file, file.size(), keep_payload))
 
-    return paths.select("path").mapInArrow(run, RECORDS)
+    return paths.select("path").filter("path IS NOT NULL").mapInArrow(run, RECORDS)
 
 
 def read_contents(files: DataFrame, keep_payload: bool = True) -> DataFrame:
@@ -330,7 +449,8 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null html is an empty payload, a null url is left out, a null id gets a
     record id from its payload and never is a revisit's target. Repeated rows are
-    written each. Other columns are ignored, whatever their names.
+    written each. Other columns are ignored, whatever their names. An empty table
+    writes no archive and gives no paths.
     """
     chosen = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),

@@ -1,6 +1,8 @@
 import io
 import random
 
+import pytest
+
 from sievelake.llm import archives
 from sievelake.llm.archives import Salvage, gzip_member, record_bytes
 from sievelake.llm.queries import op10_warc
@@ -20,11 +22,11 @@ def members(n, packed=True):
 
 
 def ids(found):
-    return [w["record_id"] for _, _, w in found if isinstance(w, dict)]
+    return [w["record_id"] for _, _, w, *_ in found if isinstance(w, dict)]
 
 
 def gaps(found):
-    return [(o, n) for o, n, w in found if isinstance(w, str)]
+    return [(o, n) for o, n, w, place, _ in found if isinstance(w, str) and place is None]
 
 
 def test_clean_archives():
@@ -66,10 +68,64 @@ def test_bytes_are_covered_whatever_breaks():
             else:
                 data[at] ^= 1 << rng.randrange(8)
         found = walk(bytes(data))
-        assert sum(n for _, n, _ in found) == len(data)
+        assert sum(n for _, n, *_ in found) == len(data)
         assert len(ids(found)) >= 8 - 5 - 1
 
 
+def inner(found):
+    return [(place, n) for _, _, w, place, n in found if isinstance(w, str) and place is not None]
+
+
+@pytest.mark.parametrize("kept", [archives.KEPT, 1000])
+def test_records_inside_one_member(monkeypatch, kept):
+    """Five records in one member; the third is bad before it is packed. With a low limit the member is decoded twice."""
+    monkeypatch.setattr(archives, "KEPT", kept)
+    parts = members(5, packed=False)
+    starts = [sum(map(len, parts[:i])) for i in range(6)]
+    third = bytearray(parts[2])
+    third[len(third) // 2] ^= 0xFF
+    for raw, lost in ((b"".join(parts), None), (b"".join([*parts[:2], bytes(third), *parts[3:]]), 2)):
+        data = gzip_member(raw)
+        found = walk(members(1)[0] + data)
+        assert ids(found) == ["<urn:x-page:0>"] + [f"<urn:x-page:{i}>" for i in range(5) if i != lost]
+        assert inner(found) == ([(starts[2], starts[3] - starts[2])] if lost else []) and not gaps(found)
+        assert sum(n for _, n, *_ in found) == len(members(1)[0]) + len(data)
+
+
+def test_plain_archive_in_gzip_with_junk():
+    parts = members(6, packed=False)
+    cut = parts[3][:-300]
+    found = walk(gzip_member(b"junk" + parts[0] + parts[1] + b"\0" * 77 + parts[2] + cut + parts[4] + parts[5][:100]))
+    assert ids(found) == [f"<urn:x-page:{i}>" for i in (0, 1, 2, 4)]
+    lengths = [*map(len, parts)]
+    after = 4 + lengths[0] + lengths[1]
+    assert inner(found) == [(0, 4), (after, 77), (after + 77 + lengths[2], len(cut)), (after + 77 + lengths[2] + len(cut) + lengths[4], 100)]
+
+
+def test_member_that_breaks_off_keeps_its_first_records():
+    rng = random.Random(6)
+    parts = [record_bytes(i, None, rng.randbytes(40_000), "response", None) for i in range(5)]
+    whole = gzip_member(b"".join(parts))
+    cut = whole[: len(whole) * 7 // 10]
+    last = members(1)[0]
+    found = walk(cut + last)
+    assert ids(found) == ["<urn:x-page:0>", "<urn:x-page:1>", "<urn:x-page:2>", "<urn:x-page:0>"]
+    assert gaps(found) == [(0, len(cut))] and sum(n for _, n, *_ in found) == len(cut) + len(last)
+
+
+def test_checksum_failure_without_a_bad_record_is_quarantined():
+    raw = gzip_member(b"".join(members(3, packed=False)))
+    found = walk(raw[:-8] + bytes([raw[-8] ^ 1]) + raw[-7:] + members(2)[1])
+    assert ids(found) == ["<urn:x-page:1>"] and gaps(found) == [(0, len(raw))]
+
+
+def test_very_long_payload_and_null_paths(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 9_000_000), (2, "u", "y")], "page_id long, url string, html string")
+    paths = archives.archive_pages(pages)
+    got = {r.record_id: len(r.payload) for r in archives.read_archives(paths.select("path").union(spark.sql("SELECT CAST(NULL AS string)"))).collect()}
+    assert got == {"<urn:x-page:1>": 9_000_000, "<urn:x-page:2>": 1}
+
+
 def test_revisits_and_edges(spark):
     rows = [(1, "u", "same"), (2, None, "same"), (2, None, "same"), (5, "a b\r\nc", ""), (9, "u", None), (None, "u", "same"), (None, "v", "q"), (None, "w", "q"), (7, "u", "one")]
     pages = spark.createDataFrame([(a, b, c, 1) for a, b, c in rows], "page_id long, url string, html string, payload int")
