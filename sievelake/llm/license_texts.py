@@ -1,7 +1,13 @@
-"""The texts of short public licences and standard notices, by SPDX identifier."""
+"""Texts of public licences and standard notices, by SPDX identifier.
+
+Long licences are the files of ``license_data``, named by identifier; a file put
+there is known from then on. Short ones and notices are fixed values below.
+"""
 
 from __future__ import annotations
 
+from importlib import resources
+
 _AS_IS_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _GRANT_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _AS_IS_ISC = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
@@ -71,6 +77,23 @@ NAMES: list[tuple[str, str]] = [
 LEADS = ["Licensed under", "Released under", "Distributed under", "This work is licensed under", "This project is licensed under"]
 
 
+#: Lines that end the terms of a licence, before what tells how to apply it.
+ENDINGS = ("END OF TERMS AND CONDITIONS", "Exhibit A - Source Code Form License Notice", "EXHIBIT A -Mozilla Public License.")
+
+
+def stored_texts() -> list[tuple[str, str]]:
+    """(identifier, text) of the data files, whole and without what follows the terms."""
+    found = []
+    for file in sorted((f for f in resources.files("sievelake.llm").joinpath("license_data").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name):
+        text, spdx = file.read_text(encoding="utf-8"), file.name.removesuffix(".txt")
+        found.append((spdx, text))
+        for ending in ENDINGS:
+            terms, line, _ = text.partition(ending)
+            if line:
+                found += [(spdx, terms), (spdx, terms + line)]
+    return found
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(identifier, text) of all licences, and of each one-line notice."""
-    return TEXTS + [(spdx, f"{lead} {name}.") for spdx, name in NAMES for lead in LEADS]
+    return TEXTS + stored_texts() + [(spdx, f"{lead} {name}.") for spdx, name in NAMES for lead in LEADS]

@@ -15,34 +15,46 @@ from sievelake.llm.license_texts import known_texts
 
 #: Lines that state a copyright, after lower-casing.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright( \(c\)| ©)?( |:|$)[^\n]*|(\(c\)|©)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
-#: Spellings that count as equal, applied in this order to words between single spaces.
-SPELLINGS: list[tuple[str, str]] = [
-    ("licence", "license"), ("sub license", "sublicense"), ("sub-license", "sublicense"), ("acknowledgement", "acknowledgment"),
-    ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
-    ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalisation", "capitalization"),
-    ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("emphasised", "emphasized"),
-    ("favour", "favor"), ("fulfil ", "fulfill "), ("fulfilment", "fulfillment"), ("initialise", "initialize"),
-    ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("maximise", "maximize"),
-    ("modelled", "modeled"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("offence", "offense"),
-    ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"),
-    ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
-    ("signalling", "signaling"), ("utilisation", "utilization"), ("while st", "while"), ("whilst", "while"),
-    ("wilful", "willful"), ("copyright owner", "copyright holder"), ("http //", "https //"),
+#: Words with equivalent spellings, as patterns of a whole word and what it becomes.
+WORDS: list[tuple[str, str]] = [
+    (r"(sub|un|)licenc(e|es|ed|ing|or|ee|ees)", "$1licens$2"),
+    (r"(offen|defen|preten)ce(s|)", "$1se$2"),
+    (r"(author|capital|categor|custom|emphas|final|formal|initial|maxim|minim|modern|normal|optim|organ|real|recogn|standard|summar|util)is(e|es|ed|er|ers|ing|ation|ations)", "$1iz$2"),
+    (r"(anal|paral)ys(e|es|ed|ing)", "$1yz$2"),
+    (r"(cent|calib|lit|fib)re(s|d|)", "$1er$2"),
+    (r"(fav|lab|col|behavi|hon|harb|endeav)our(s|ed|ing|able|)", "$1or$2"),
+    (r"(cance|labe|mode|signa|trave|tota)ll(ed|ing|er)", "$1l$2"),
+    (r"(acknowledg|judg|abridg)ement(s|)", "$1ment$2"),
+    (r"(catalog|analog|dialog|prolog)ue(s|d|)", "$1$2"),
+    (r"practis(e|es|ed|ing)", "practic$1"),
+    (r"artefact(s|)", "artifact$1"),
+    (r"programme(s|)", "program$1"),
+    (r"(ful)fil(s|ment|)", "$1fill$2"),
+    (r"wilful(ly|)", "willful$1"),
+    (r"whilst", "while"),
+    (r"https", "http"),
+]
+#: Runs of words that count as another, replaced in this order after single words.
+RUNS: list[tuple[str, str]] = [
+    *[(f"sub licens{end}", f"sublicens{end}") for end in ("e", "es", "ed", "ing", "or", "ee", "ees")], ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"), ("merchant ability", "merchantability"),
 ]
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words between single spaces, one spelling of each word."""
-    lines = F.regexp_replace(F.regexp_replace(F.lower(text), "\r\n?", "\n"), COPYRIGHT_LINE, " ")
-    words = F.regexp_replace(F.replace(lines, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " ")
-    out = F.concat(F.lit(" "), F.btrim(words), F.lit(" "))
-    for written, kept in SPELLINGS:
-        out = F.replace(out, F.lit(_plain(written)), F.lit(_plain(kept)))
-    return F.btrim(out)
-
+    """Lower case, no copyright lines, words between single spaces, one spelling of each word.
 
-def _plain(spelling: str) -> str:
-    return spelling.replace("-", " ").replace("//", "").rstrip() + (" " if spelling.endswith(" ") else "")
+    Each word first stands between two spaces of its own, so that patterns of
+    whole words match neighbours too and never a part of a word.
+    """
+    lines = F.regexp_replace(F.regexp_replace(F.lower(text), "\r\n?", "\n"), COPYRIGHT_LINE, " ")
+    words = F.btrim(F.regexp_replace(F.replace(lines, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", "  "))
+    out = F.concat(F.lit(" "), words, F.lit(" "))
+    for pattern, kept in WORDS:
+        out = F.regexp_replace(out, f" {pattern} ", f" {kept} ")
+    for run, kept in RUNS:
+        out = F.replace(out, F.lit(" " + run.replace(" ", "  ") + " "), F.lit(" " + kept.replace(" ", "  ") + " "))
+    return F.replace(F.btrim(out), F.lit("  "), F.lit(" "))
 
 
 def digest(text: Column) -> Column:
@@ -70,22 +82,3 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     table = F.broadcast(known_digests(docs.sparkSession, known))
     found = rows.join(table, F.col("text_digest") == F.col("license_digest"), "left")
     return found.select("doc_id", "text_digest", "license_id")
-
-
-def scan_sql() -> str:
-    """The same scan in DuckDB's SQL."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-
-    def steps(text: str) -> str:
-        lines = f"regexp_replace(regexp_replace(lower({text}), '\\r\\n?', chr(10), 'g'), {quote(COPYRIGHT_LINE)}, ' ', 'g')"
-        out = f"(' ' || trim(regexp_replace(replace({lines}, '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ')"
-        for written, kept in SPELLINGS:
-            out = f"replace({out}, {quote(_plain(written))}, {quote(_plain(kept))})"
-        return f"sha256(trim({out}))"
-
-    known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in known_texts())
-    return f"""
-WITH known AS (SELECT {steps('t')} AS license_digest, min(i) AS license_id FROM (VALUES {known}) AS k(i, t) GROUP BY 1),
-scanned AS (SELECT doc_id, {steps('text')} AS text_digest FROM documents)
-SELECT doc_id, text_digest, license_id FROM scanned LEFT JOIN known ON text_digest = license_digest
-"""

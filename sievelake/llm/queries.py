@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import archives, licenses, lines, mih, packing, pieces, quality, ring, scoring, simhash
+from sievelake.llm import archives, license_sql, licenses, lines, mih, packing, pieces, quality, ring, scoring, simhash
 from sievelake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_license_digests": licenses.scan_sql(),
+        "op3_license_digests": license_sql.scan_sql(),
         "op5_line_spread": OP5_SQL,
     }
