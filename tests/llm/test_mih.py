@@ -15,16 +15,88 @@ def brute(rows, every, k):
     return out
 
 
-def test_probing_finds_every_code_within_the_radius():
+def test_probing_finds_every_code_within_the_radius(monkeypatch):
+    """Over all positions, probing meets every pair of codes within the radius, cell by cell."""
+    monkeypatch.setattr(mih, "INDEX_BLOCK", 40)
     rng = np.random.default_rng(0)
     for dim in (64, 20, 5):
-        vectors = rng.normal(size=(700, dim))
+        vectors = rng.normal(size=(500, dim))
         codes = mih.Codes(vectors, 10)
-        block = mih.Block(codes, vectors)
+        rows = codes.encode(vectors)
+        asked = rows[::61]
+        cells = mih.Cells(np.stack([np.bincount(c, minlength=256) for c in rows.T]))
         for radius in (0, 1, 3, 7, 8, 15, 24, 64):
-            for q in range(0, 700, 97):
-                want = np.flatnonzero(np.bitwise_count(block.rows ^ block.rows[q]).sum(axis=1) <= radius)
-                assert block.within(block.rows[q], radius).tolist() == want.tolist()
+            reaches = codes.reaches(radius)
+            probed = cells.probed(reaches)
+            met = [set() for _ in asked]
+            for s in range(codes.bytes):
+                if reaches[s] < 0:
+                    continue
+                for who, near in mih.probe(rows, asked, s, reaches[s]):
+                    for q in who.tolist():
+                        met[q] |= set(near.tolist())
+                        assert set(cells.of[s, rows[near, s]].tolist()) <= set(probed[s][asked[q, s]].tolist())
+            for q, code in enumerate(asked):
+                want = np.flatnonzero(np.bitwise_count(rows ^ code).sum(axis=1) <= radius)
+                assert set(want.tolist()) <= met[q]
+
+
+def shares(vectors, k=20):
+    """Shares of all rows that a query visits and reranks, and its recall, over a hundred queries."""
+    codes = mih.Codes(vectors[: mih.SAMPLE], k, len(vectors))
+    rows, reaches = codes.encode(vectors), codes.reaches(codes.radius)
+    visited = reranked = hits = 0
+    for q in range(0, len(vectors), len(vectors) // 100):
+        bits = np.bitwise_count(rows ^ rows[q])
+        visited += (bits <= np.array(reaches)).any(axis=1).mean()
+        close = bits.sum(axis=1) <= codes.radius
+        reranked += close.mean()
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += close[np.argsort(-scores)[:k]].mean()
+    n = len(range(0, len(vectors), len(vectors) // 100))
+    return visited / n, reranked / n, hits / n
+
+
+def test_clustered_vectors_are_pruned():
+    """Where neighbours are near, most rows are never visited."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(400, 64))
+    vectors = centres[rng.integers(0, 400, 20_000)] + 0.25 * rng.normal(size=(20_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    visited, reranked, recall = shares(vectors)
+    assert visited < 0.2 and reranked < 0.05 and recall >= 0.9
+
+
+def test_hot_vectors_and_values(spark, monkeypatch):
+    """A third of all rows share one vector, another third one byte of their codes."""
+    for name, value in (("INDEX_BLOCK", 50), ("QUERY_BLOCK", 8), ("WANTED", 1.0)):
+        monkeypatch.setattr(mih, name, value)
+    monkeypatch.setattr(mih.join_counted, "__defaults__", (5,))
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 2.0, 0.5, 0.0, -1.0, 0.25, 3.0, 1.0, 0.5, 0.125]) for i in range(400)]
+    rows += [(i, (np.array([4.0] * 8 + [0.0, 0.0]) + 0.01 * rng.normal(size=10)).tolist() if i < 800 else rng.normal(size=10).tolist()) for i in range(400, 1200)]
+    got = {}
+    for r in mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(rows, 20, 5)
+    assert got.keys() == want.keys()
+    hits = sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.95 * 5 * len(want) and got[40] == [i for i, _ in want[40]]
+
+
+def test_other_lengths_are_searched_among_themselves(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4 if i % 3 else 7).tolist()) for i in range(90)]
+    monkeypatch.setattr(mih, "WANTED", 1.0)
+    got = {}
+    for r in mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in (0, 20, 40, 60, 80):
+        assert got[q] == [i for i, _ in brute([r for r in rows if len(r[1]) == len(rows[q][1])], 20, 4)[q]]
+    monkeypatch.setattr(mih, "MOST_LENGTHS", 1)
+    with pytest.raises(ValueError):
+        mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
