@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.batches import bounded
-from sievelake.session import materialize, shared_dir
+from sievelake.session import materialize, work_dir
 
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
@@ -457,7 +457,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8").alias("payload"),
     )
     marked = mark_revisits(chosen, "page_id", "payload", min_bytes)
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = f"{work_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"
     folder = re.sub(r"^file:/+", "file:///", folder)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.skew import join_counted
 from sievelake.session import materialize
 
 #: Sites on which a line must occur to be boilerplate; the sketch's size (2^10 registers: a standard error
@@ -39,20 +40,20 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> D
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``h1``, ``h2``, ``first`` (struct of the first occurrence) and ``n_sites`` (null unless counted
-    exactly) of the lines on at least ``min_sites`` sites. A null site is none."""
+    """``h1``, ``h2``, ``first`` (struct of the first occurrence), ``n_sites`` (null unless counted exactly)
+    and ``n`` (occurrences) of the lines on at least ``min_sites`` sites. A null site is none."""
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "t1", "t2", "pos")
     spread = lines.groupBy("h1", "h2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH)).alias("estimate"), F.min(order).alias("first")
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH)).alias("estimate"), F.min(order).alias("first"), F.count("*").alias("n")
     )
     low, high = (F.lit(min_sites * x) for x in NEAR)
     likely = materialize(spread.filter(F.col("estimate") >= F.floor(low)), "likely")
-    near = likely.filter(F.col("estimate") <= high).select("h1", "h2")
-    sites = lines.filter(F.col("site").isNotNull()).join(near, ["h1", "h2"]).select("h1", "h2", "site").distinct()
+    near = likely.filter(F.col("estimate") <= high).select("h1", "h2", "n")
+    sites = join_counted(lines.filter(F.col("site").isNotNull()).select("h1", "h2", "site"), near, ["h1", "h2"]).distinct()
     exact = sites.groupBy("h1", "h2").agg(F.count("*").alias("n_sites"))
     settled = likely.join(exact, ["h1", "h2"], "left")
     over = (F.col("estimate") > high) | (F.col("n_sites") >= min_sites)
-    return materialize(settled.filter(over).select("h1", "h2", "first", "n_sites"), "boilerplate")
+    return materialize(settled.filter(over).select("h1", "h2", "first", "n_sites", "n"), "boilerplate")
 
 
 def _fresh(columns: list[str], name: str) -> str:
@@ -75,12 +76,13 @@ def dedup_lines(
     a text of boilerplate alone becomes empty. ``removed_col`` adds the number of
     lines taken out. Line hashes, not texts, are shuffled by line, and partial
     sketches bound what one hot line sends; a document meets its own list of
-    removed places only. An empty table gives no rows.
+    removed places only; lines that occur very often are broadcast, not met in a
+    shuffle. An empty table gives no rows.
     """
     lines = occurrences(docs, id_col, text_col, site_col)
     known = boilerplate(lines, min_sites)
     here = F.struct(F.col("id").isNull().alias("no_id"), "id", "t1", "t2", "pos")
-    extra = lines.join(known, ["h1", "h2"]).filter(~here.eqNullSafe(F.col("first")))
+    extra = join_counted(lines.drop("site"), known, ["h1", "h2"]).filter(~here.eqNullSafe(F.col("first")))
     drop, d1, d2, d3 = (_fresh(docs.columns, x) for x in ("dropped_lines", "row_id", "row_t1", "row_t2"))
     places = extra.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias(drop))
     places = materialize(places.select(F.col("id").alias(d1), F.col("t1").alias(d2), F.col("t2").alias(d3), drop), "places")

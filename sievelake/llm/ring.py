@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from sievelake.session import materialize
 
 RING = 1 << 32
-#: Parts of an arc that are ranked by themselves; they bound the rows that one task must sort.
-CELLS_PER_ARC = 64
+#: Parts of an arc that are ranked by themselves; they bound the rows that one task must sort. Equal rows beyond ``EQUAL``
+#: have parts of their own.
+CELLS_PER_ARC, EQUAL = 64, 20_000
 
 
 def ring_points(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -82,15 +83,22 @@ def shard_rows(rows: DataFrame, key: Column, tie: Column, shards: int, vnodes: i
 
     ``key`` decides the place, ``tie`` (a long) orders and spreads rows of equal
     keys, so that a key that holds a third of all rows is still ranked in many
-    parts; rows equal in both are alike and may trade slots. Without ``slack``
+    parts. Rows equal in both are alike and may trade slots; if they are very
+    many, they come after all others of their arc, in parts by number. Without ``slack``
     the counts of shards differ by one at most; with it, no shard exceeds
     (1 + slack) times the mean. Null keys have a place like any other. The driver
     holds the counts of the arcs: shards times ``vnodes`` numbers.
     """
     points = ring_points(shards, vnodes)
     place = F.pmod(F.xxhash64(key), F.lit(RING))
-    cell = F.pmod(F.xxhash64(place, tie), F.lit(CELLS_PER_ARC)).cast("int")
-    placed = materialize(rows.withColumn("_place", place).withColumn("_tie", tie).withColumn("_arc", arc_of(F.col("_place"), points)).withColumn("_cell", cell), "placed")
+    placed = rows.withColumn("_place", place).withColumn("_tie", tie).withColumn("_arc", arc_of(F.col("_place"), points))
+    alike = placed.groupBy("_place", "_tie").agg(F.count("*").alias("_n")).filter(F.col("_n") > EQUAL)
+    # At most the number of rows divided by EQUAL.
+    alike = F.broadcast(alike.select("_place", "_tie", F.row_number().over(Window.orderBy("_place", "_tie")).alias("_many")))
+    part = (F.col("_many") * CELLS_PER_ARC + F.pmod(F.monotonically_increasing_id(), F.lit(CELLS_PER_ARC))).cast("int")
+    cell = F.pmod(F.xxhash64("_place", "_tie"), F.lit(CELLS_PER_ARC)).cast("int")
+    placed = placed.join(alike, ["_place", "_tie"], "left").withColumn("_cell", F.coalesce(part, cell)).drop("_many")
+    placed = materialize(placed, "placed")
     cells = placed.groupBy("_arc", "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_arc").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = materialize(cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "cells")

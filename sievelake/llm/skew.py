@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a key from which its partner is broadcast instead of shuffled to.
-HOT = 20_000
+#: Rows of a key from which its partner is broadcast instead of shuffled to, and parts that such a key's rows are dealt to.
+HOT, PARTS = 20_000, 1024
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], hot: int = HOT) -> DataFrame:
     """The inner join of ``rows`` with ``keyed``, one row for each key and ``n``, how many of ``rows`` have that key.
 
     Keys with over ``hot`` rows, of which there are at most the number of rows
-    divided by ``hot``, are broadcast and their rows stay where they are; all
-    others meet in a shuffle in which no key is large. Keys must not be null;
-    ``n`` isn't returned.
+    divided by ``hot``, are broadcast; should the others need a shuffle, rows that
+    have met their partner are spread in it by number, so that no key is large.
+    Rows are read once. Keys must not be null; ``n`` isn't returned.
     """
-    some = F.broadcast(keyed.filter(F.col("n") > hot).select(*on, F.lit(True).alias("_hot"), F.struct(*[c for c in keyed.columns if c not in on and c != "n"]).alias("_of")))
-    marked = rows.join(some, on, "left")
     partner = [c for c in keyed.columns if c not in on and c != "n"]
-    mine = [F.col(c) for c in rows.columns]
-    met = marked.filter("_hot").select(*mine, *[F.col(f"_of.{c}").alias(c) for c in partner])
-    cold = marked.filter("_hot IS NULL").select(*mine).join(keyed.filter(F.col("n") <= hot).drop("n"), on).select(*rows.columns, *partner)
-    return met.unionByName(cold)
+    held = F.struct(*partner)
+    some = F.broadcast(keyed.filter(F.col("n") > hot).select(*on, held.alias("_met")))
+    marked = rows.join(some, on, "left").withColumn("_part", F.when(F.col("_met").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))))
+    cold = keyed.filter(F.col("n") <= hot).select(*on, F.lit(0).cast("long").alias("_part"), held.alias("_cold"))
+    joined = marked.join(cold, [*on, "_part"], "left").withColumn("_met", F.coalesce("_met", "_cold")).filter("_met IS NOT NULL")
+    return joined.select(*rows.columns, *[F.col(f"_met.{c}").alias(c) for c in partner])

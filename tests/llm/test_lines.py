@@ -51,6 +51,21 @@ def test_near_threshold_is_exact(spark):
     assert known.count() == 11
 
 
+def test_one_line_on_every_page(spark, monkeypatch):
+    """A line that a third of all rows hold is broadcast; others are met in the shuffle."""
+    monkeypatch.setattr(lines.join_counted, "__defaults__", (30,))
+    rows = [(i, f"s{i % 23}", "\n".join([f"own {i}", "menu", *[f"shared {k}" for k in range(5) if i % (k + 2) == 0]])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert sorted(((r.doc_id, r.text) for r in lines.dedup_lines(docs, min_sites=5).collect()), key=str) == sorted(brute(rows, 5), key=str)
+
+
+def test_very_long_text(spark):
+    body = "\n".join(f"line {i}" for i in range(60_000))
+    rows = [(1, "a", body), *[(i, f"s{i}", f"line {i}\nline 59999") for i in range(2, 14)]]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert sorted(((r.doc_id, r.text) for r in lines.dedup_lines(docs).collect()), key=str) == sorted(brute(rows, 10), key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert lines.dedup_lines(docs).count() == 0
