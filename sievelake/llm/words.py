@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from sievelake.llm.batches import gather
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,3 +42,10 @@ def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
     dark = np.ascontiguousarray(data[~_BLANK[data]])
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(dark)])
+
+
+def byte_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Some runs of the data as an Arrow array of bytes."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[gather(starts, lengths)]))])
