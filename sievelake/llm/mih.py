@@ -29,8 +29,8 @@ from sievelake.session import materialize
 
 #: Vectors that codes and radius are learned on, queries among them, and the share of true neighbours the radius must hold.
 SAMPLE, SAMPLE_QUERIES, WANTED = 8192, 512, 0.95
-#: Rows of a cell and queries that meet them at a time; lengths of vectors that may occur.
-INDEX_BLOCK, QUERY_BLOCK, MOST_LENGTHS = 8192, 2048, 32
+#: Rows of a cell and queries that meet them at a time; queries whose best rows a task holds; lengths of vectors that may occur.
+INDEX_BLOCK, QUERY_BLOCK, HELD, MOST_LENGTHS = 8192, 2048, 100_000, 32
 _VALUES = np.arange(256, dtype=np.uint8)
 _BITS = np.bitwise_count(_VALUES)
 #: Byte values by the number of bits they set: XOR-ing a byte with the first ones gives its neighbours.
@@ -112,16 +112,19 @@ def probe(rows: np.ndarray, asked: np.ndarray, position: int, reach: int) -> Ite
         yield np.flatnonzero(asked[:, position] == value), np.concatenate([order[starts[v] : starts[v + 1]] for v in values])
 
 
-def best_of(vectors: np.ndarray, query: np.ndarray, rough: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best ``k`` of some rows, and their inner products in double precision; rows that tie with the last are all returned."""
-    if len(rows) > k:
-        floor = np.partition(rough, len(rough) - k)[len(rough) - k]
-        rows = rows[rough >= floor - 1e-9 * max(1.0, float(np.abs(rough).max()))]
+def merged(known: list[tuple[float, int]], rows: np.ndarray, vectors: np.ndarray, query: np.ndarray, rough: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[float, int]]:
+    """The best ``k`` (negated score, id) of those known and of some rows, each id once; scores are inner products in double
+    precision, of the rows whose rough ones may be among the best."""
+    floor = -np.inf if len(known) < k else -known[-1][0]
+    if len(rough) > k:
+        floor = max(floor, np.partition(rough, len(rough) - k)[len(rough) - k])
+    near = rough >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else np.ones(len(rough), bool)
+    rows = rows[near]
     exact = (vectors[rows] * query).sum(axis=1)
-    if len(rows) > k:
-        keep = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
-        rows, exact = rows[keep], exact[keep]
-    return rows, exact
+    found = {i: x for x, i in known}
+    for r, x in zip(rows.tolist(), exact.tolist()):
+        found.update(dict.fromkeys(ids[r], -x))
+    return sorted((x, i) for i, x in found.items())[:k]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -172,7 +175,8 @@ def _tally(rows: DataFrame, size: int, places) -> np.ndarray:
 
 
 def _search(index: DataFrame, queries: DataFrame, codes: Codes, cells: Cells, radius: int, k: int) -> DataFrame:
-    """``key``, ``vec_id``, ``score``: for each query (coded) the best ``k`` ids of each cell that it probes, within the radius."""
+    """``key``, ``vec_id``, ``score``: for each query (coded) the best ``k`` ids within the radius of those cells that it probes
+    and that one task was dealt."""
     reaches, width = codes.reaches(radius), codes.bytes
     probed = cells.probed(reaches)
 
@@ -207,35 +211,63 @@ def _search(index: DataFrame, queries: DataFrame, codes: Codes, cells: Cells, ra
 
         return run
 
-    def search(group: pa.Table) -> pa.Table:
+    def search(group: pa.Table, best: dict[int, list]) -> None:
+        """Merge what the queries of a cell find in it into ``best``."""
         is_query = np.asarray(group.column("key").is_valid())
         queries_, stored = group.filter(pa.array(is_query)), group.filter(pa.array(~is_query))
-        found: list[tuple] = []
-        if len(queries_) and len(stored):
-            position = int(cells.position[group.column("cell")[0].as_py()])
-            a, b = (_code_bytes(t.column("code"), width) for t in (queries_, stored))
-            vectors, rows, ids, keys = _matrix(queries_.column("v"), codes.dim), _matrix(stored.column("v"), codes.dim), stored.column("ids").to_pylist(), queries_.column("key").to_pylist()
-            whole = lambda x: np.pad(x, ((0, 0), (0, 8 - width))).copy().view(np.uint64).ravel()
-            wide_a, wide_b = whole(a), whole(b)
-            for who, near in probe(b, a, position, reaches[position]):
-                if not len(near):
-                    continue
-                places, codes_near = rows[near], wide_b[near]
-                for at in range(0, len(who), 256):
-                    some = who[at : at + 256]
-                    rough = vectors[some] @ places.T
-                    close = np.bitwise_count(wide_a[some, None] ^ codes_near[None, :]) <= radius
-                    for i, q in enumerate(some.tolist()):
-                        hit = np.flatnonzero(close[i])
-                        best, scores = best_of(places, vectors[q], rough[i, hit], hit, k)
-                        pairs = sorted((-x, n) for r, x in zip(near[best].tolist(), scores.tolist()) for n in ids[r])[:k]
-                        found += [(keys[q], n, -x) for x, n in pairs]
-        keys_, ids_, scores_ = zip(*found) if found else ((), (), ())
-        return pa.table({"key": pa.array(keys_, pa.int64()), "vec_id": pa.array(ids_, pa.int64()), "score": pa.array(scores_, pa.float64())})
+        if not len(queries_) or not len(stored):
+            return
+        position = int(cells.position[group.column("cell")[0].as_py()])
+        a, b = (_code_bytes(t.column("code"), width) for t in (queries_, stored))
+        vectors, rows, ids, keys = _matrix(queries_.column("v"), codes.dim), _matrix(stored.column("v"), codes.dim), stored.column("ids").to_pylist(), queries_.column("key").to_pylist()
+        whole = lambda x: np.pad(x, ((0, 0), (0, 8 - width))).copy().view(np.uint64).ravel()
+        wide_a, wide_b = whole(a), whole(b)
+        for who, near in probe(b, a, position, reaches[position]):
+            if not len(near):
+                continue
+            places, codes_near = rows[near].T, wide_b[near]
+            for at in range(0, len(who), 256):
+                some = who[at : at + 256]
+                rough = vectors[some] @ places
+                close = np.bitwise_count(wide_a[some, None] ^ codes_near[None, :]) <= radius
+                for i, q in enumerate(some.tolist()):
+                    known = best.get(keys[q], [])
+                    if len(known) >= k:
+                        close[i] &= rough[i] >= -known[-1][0] - 1e-9 * max(1.0, abs(known[-1][0]))
+                    hit = np.flatnonzero(close[i])
+                    if len(hit):
+                        best[keys[q]] = merged(known, near[hit], rows, vectors[q], rough[i, hit], ids, k)
+
+    def flushed(best: dict[int, list]) -> pa.RecordBatch:
+        rows = [(key, i, -x) for key, pairs in best.items() for x, i in pairs]
+        best.clear()
+        keys_, ids_, scores_ = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(keys_, pa.int64()), pa.array(ids_, pa.int64()), pa.array(scores_, pa.float64())], names=["key", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come one after the other; a group is complete when the next one begins."""
+        held, now, best = [], None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                if held and tuple(place[low]) != now:
+                    search(pa.Table.from_batches(held), best)
+                    held = []
+                    if len(best) > HELD:
+                        yield flushed(best)
+                now = tuple(place[low])
+                held.append(batch.slice(low, high - low))
+        if held:
+            search(pa.Table.from_batches(held), best)
+        yield flushed(best)
 
     dealt = "cell int, part int, turn int, key long, ids array<long>, v array<double>, code binary"
     met = index.mapInArrow(deal(True), dealt).unionByName(queries.mapInArrow(deal(False), dealt))
-    return met.groupBy("cell", "part", "turn").applyInArrow(search, "key long, vec_id long, score double")
+    place = ["cell", "part", "turn"]
+    return met.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "key long, vec_id long, score double")
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -276,7 +308,7 @@ def nearest(rows: DataFrame, query_every: int = 20, k: int = 20, id_col: str = "
     Equal vectors are searched and indexed once: a copy beyond the k + 1 with the
     smallest ids cannot be among the k nearest, so only those are carried (Spark
     prunes them before the shuffle). Null, zero or non-finite vectors take no
-    part. Vectors are searched among those of their own length; over MOST_LENGTHS
+    part; ties and repeated rows are ranked by id. Vectors are searched among those of their own length; over MOST_LENGTHS
     lengths raise. Memory of a task: a block of rows and one of queries. Extra
     columns are ignored; an empty table gives no rows.
     """
