@@ -334,13 +334,15 @@ def _rewritten(spark, d):
     return transform.fill_in_middle(docs, "text", allowed, identity, 0.4)
 
 
+#: A line with its end, in the SQL's dialect.
+LINES = r"[^\n\r\x{0B}\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x{0B}\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}])"
 NUMBER = "(('0x' || substr(h, {}, 16))::UBIGINT)"
 
 
 @register("fim_char_transform", f"""
 WITH x AS (SELECT doc_id, text, length(text) AS size, sha256('42' || chr(0) || source || chr(0) || doc_id || chr(0) || 'psm_literal_markers_v1') AS h FROM documents),
-e AS (SELECT *, size >= 128 AND {NUMBER.format(1)}::DOUBLE / 18446744073709551616.0 < 0.4 AS applied, list_transform(string_split(text, chr(10)), lambda s: length(s) + 1) AS ll FROM x),
-b AS (SELECT *, list_filter(list_transform(range(1, len(ll) + 1), lambda i: list_sum(ll[1:i])::BIGINT), lambda v: v < size) AS ends FROM e),
+e AS (SELECT *, size >= 128 AND {NUMBER.format(1)}::DOUBLE / 18446744073709551616.0 < 0.4 AS applied, regexp_extract_all(text, '{LINES}') AS ll FROM x),
+b AS (SELECT *, list_filter(list_transform(range(1, len(ll) + 1), lambda i: list_sum(list_transform(ll[1:i], lambda s: length(s)))::BIGINT), lambda v: v < size) AS ends FROM e),
 a AS (SELECT *, CASE WHEN len(ends) >= 2 THEN {NUMBER.format(17)} % (len(ends) - 1)::UBIGINT ELSE 1 + {NUMBER.format(17)} % greatest(size - 2, 1)::UBIGINT END::BIGINT AS p FROM b),
 c AS (SELECT *, p + 1 + (CASE WHEN len(ends) >= 2 THEN {NUMBER.format(33)} % greatest(len(ends) - p - 1, 1)::UBIGINT ELSE {NUMBER.format(33)} % greatest(size - p - 1, 1)::UBIGINT END)::BIGINT AS q FROM a),
 s AS (SELECT *, CASE WHEN len(ends) >= 2 THEN ends[p + 1] ELSE p END AS start, CASE WHEN len(ends) >= 2 THEN ends[q + 1] ELSE q END AS stop FROM c)
@@ -362,6 +364,16 @@ def fim_roundtrip(spark, d):
     return made.groupBy("applied").agg(F.count("*").alias("n"), F.count_if(F.col("back") != F.col("text")).alias("n_changed"))
 
 
+@register("fim_token_minimums")
+def fim_token_minimums(spark, d):
+    """Texts cut where tokens begin, with at least 16 tokens in each part."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    identity = F.concat_ws("\0", F.lit("42"), "source", F.col("doc_id").cast("string"), F.lit(transform.TOKEN_FORMAT))
+    allowed = transform.eligible(F.lit("code"), F.lit("Python"), F.col("text"))
+    made = transform.fill_in_middle_tokens(docs, "text", allowed, identity, 0.4, "/opt/tokenizers/byte_bpe_50k.json")
+    return made.select("doc_id", "eligible", "applied", "skip_reason", "start", "stop", F.array_join(F.col("span_tokens").cast("array<string>"), ",").alias("span_tokens"), F.sha2("fim_text", 256).alias("fim_sha256"))
+
+
 @register("dependency_contexts", """
 WITH RECURSIVE nb AS (SELECT a.doc_id, a.n_chars, b.doc_id AS neighbour, b.n_chars AS nn, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id) AS r FROM documents a JOIN documents b ON b.source = a.source AND b.lang = a.lang AND b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 100 WHERE a.n_chars <= 8192),
 w(doc_id, r, total, files) AS (SELECT DISTINCT doc_id, 0::BIGINT, n_chars, []::BIGINT[] FROM nb UNION ALL

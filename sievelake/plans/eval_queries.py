@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import hashing, text
-from sievelake.operators import evalstats, routing, simulate
+from sievelake.operators import digests, evalstats, routing, simulate
 from sievelake.plans.text_queries import LEXEMES
 from sievelake.registry import register
 from sievelake.session import table
@@ -199,8 +199,8 @@ def source_inventory(spark, d):
 @register("ordered_fingerprint", "SELECT lang, sha256(string_agg(doc_id || chr(0) || sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY 1")
 def ordered_fingerprint(spark, d):
     """A digest of ids and text digests, in order of id."""
-    rows = table(spark, d, "documents").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("r"))
-    return rows.select("lang", F.sha2(F.array_join(F.transform("r", lambda x: F.concat(x["doc_id"], F.lit("\0"), x["h"])), "\n"), 256).alias("fingerprint"))
+    rows = table(spark, d, "documents").select("lang", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\0"), F.sha2("text", 256)).alias("line"))
+    return digests.ordered_digest(rows, ["lang"], "doc_id", F.col("line")).withColumnRenamed("digest", "fingerprint")
 
 
 @register("microbench", """

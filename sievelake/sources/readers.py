@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievelake.session import materialize
+
 PROVENANCE = ["source", "source_url", "revision", "license", "text"]
 LICENSES = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0", "Unlicense"]
 
@@ -53,17 +55,24 @@ def junit_totals(spark: SparkSession, path: str) -> DataFrame:
     return suites.agg(*[F.sum(f"_{c}").alias(c) for c in ("tests", "failures", "errors")])
 
 
-def json_fields(rows: DataFrame, key: str, body: str, fields: list[str], depth: int = 5) -> DataFrame:
-    """``key``, ``label``, ``value`` of strings under these names at any place of JSON documents, to a depth."""
-    level = rows.select(key, F.lit("").alias("label"), F.try_parse_json(F.col(body)).alias("v"))
-    found = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("harvest_level")
-        level = level.sparkSession.sql(f"SELECT `{key}`, coalesce(e.key, h.label) AS label, e.value AS v FROM harvest_level h, LATERAL variant_explode_outer(h.v) e WHERE e.value IS NOT NULL")
-        text = level.select(key, "label", F.try_variant_get("v", "$", "string").alias("value"), F.schema_of_variant("v").alias("kind"))
-        hits = text.filter(F.col("label").isin(fields) & (F.col("kind") == "STRING")).select(key, "label", "value")
+def json_fields(rows: DataFrame, key: str, body: str, fields: list[str]) -> DataFrame:
+    """``key``, ``label``, ``value`` of the strings under these names at any place of JSON documents, however deep.
+
+    One level at a time; what holds further levels is written to the shared
+    folder, until nothing does. Items of lists have no name of their own, so
+    strings in them are not taken. Bad documents and nulls give no rows.
+    """
+    spark, level, found = rows.sparkSession, rows.select(F.col(key).alias("key"), F.col(body).alias("json")), None
+    while True:
+        parsed = level.select("key", F.try_parse_json("json").alias("v"))
+        inside = spark.sql("SELECT h.key, e.key AS label, e.value AS v FROM {level} h, LATERAL variant_explode(h.v) e", level=parsed)
+        strings = inside.filter(F.col("label").isin(fields) & (F.schema_of_variant("v") == "STRING"))
+        hits = strings.select(F.col("key").alias(key), "label", F.try_variant_get("v", "$", "string").alias("value"))
         found = hits if found is None else found.unionAll(hits)
-    return found
+        json = inside.select("key", F.to_json("v").alias("json"))
+        level = materialize(json.filter(F.substring("json", 1, 1).isin("{", "[")), "json-level")
+        if not level.limit(1).count():
+            return found
 
 
 def traces(files: DataFrame, top_k: int) -> DataFrame:
@@ -103,15 +112,17 @@ def byte_ranges(objects: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def export_check(records: DataFrame, expected_rows: int) -> DataFrame:
     """Rows, wrong headers, wrong raw and normalised digests of an export (repository, file_path, text, body, raw_sha256,
-    normalized_sha256), and the fingerprint of its inventory."""
+    normalized_sha256), and the digest of its inventory in order of path."""
     from sievelake.functions.text import header, normalize
+    from sievelake.operators.digests import ordered_digest
 
     head = header(F.col("repository"), F.col("file_path"))
-    inventory = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_path", "raw_sha256"))), lambda x: F.concat(x["file_path"], F.lit("\0"), x["raw_sha256"])), "\n")
-    return records.agg(
+    inventory = ordered_digest(records, [], "file_path", F.concat(F.col("file_path"), F.lit("\0"), F.col("raw_sha256")))
+    facts = records.agg(
         F.count("*").alias("n"), (F.count("*") == expected_rows).alias("complete"), F.count_if(~F.col("text").startswith(head)).alias("bad_headers"), F.count_if(F.sha2("body", 256) != F.col("raw_sha256")).alias("bad_raw"),
-        F.count_if(F.sha2(normalize(F.col("body")), 256) != F.col("normalized_sha256")).alias("bad_normalized"), F.sha2(inventory, 256).alias("inventory"),
+        F.count_if(F.sha2(normalize(F.col("body")), 256) != F.col("normalized_sha256")).alias("bad_normalized"),
     )
+    return facts.crossJoin(inventory.withColumnRenamed("digest", "inventory"))
 
 
 def synthetic(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
