@@ -57,6 +57,17 @@ def shingles(tokens: Column, width: int, keep_short: bool = False) -> Column:
     return let(tokens, windows)
 
 
+def shingle_hashes(tokens: Column, width: int) -> Column:
+    """64-bit hashes of the distinct ``width``-token windows; fewer tokens give none. No window is put together as a text."""
+
+    def windows(t: Column) -> Column:
+        count = F.size(t)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(count - width + 1, F.lit(1))), lambda i: F.xxhash64(*[F.get(t, i + k - 1) for k in range(width)]))
+        return F.when(count >= width, F.array_distinct(every)).otherwise(F.array().cast("array<long>"))
+
+    return let(tokens, windows)
+
+
 def header(repository: Column, path: Column) -> Column:
     return F.concat(F.lit("<repo>"), repository, F.lit("<file>"), path, F.lit("\n"))
 

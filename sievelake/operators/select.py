@@ -84,6 +84,40 @@ def round_robin(rows: DataFrame, group: str, order: str, target: int) -> DataFra
     return rows.withColumn("turn", turn).orderBy("turn", group).limit(target)
 
 
+def bundle_round_robin(bundles: DataFrame, group: str, order: str, size: str, target: int) -> DataFrame:
+    """``group``, ``order``, ``size``, ``turn`` of the bundles taken by turns, each whole or not at all.
+
+    Turn by turn and group by group (in order of name) a bundle is taken if the
+    total stays within the target, and skipped if not. All bundles before the
+    first that doesn't fit are one prefix, found by running sums; what is left of
+    the target is then smaller than a bundle, and the search goes on behind with
+    those that still fit, until none does. Empty bundles and null sizes count for nothing.
+    """
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    todo = bundles.select(F.col(group), F.col(order), F.coalesce(F.col(size), F.lit(0)).cast("long").alias(size)).withColumn("turn", turn).withColumn("_at", F.struct("turn", group))
+    todo, left, taken = materialize(todo.filter(F.col(size) > 0), "bundles"), target, None
+    while left > 0:
+        fitting = todo.filter(F.col(size) <= left)
+        sums = fitting.groupBy("turn").agg(F.sum(size).alias("_sum"))
+        before = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+        inside = Window.partitionBy("turn").orderBy(group)
+        placed = materialize(fitting.join(sums, "turn").withColumn("_upto", F.col("_base") + F.sum(size).over(inside)).drop("_base"), "bundle-sums")
+        # Everything up to the first that doesn't fit.
+        over = placed.filter(F.col("_upto") > left).agg(F.min("_at").alias("at")).first()["at"]
+        part = placed if over is None else placed.filter(F.col("_at") < F.struct(F.lit(over["turn"]).alias("turn"), F.lit(over[group]).alias(group)))
+        part = materialize(part.drop("_upto"), "bundles-taken")
+        taken = part if taken is None else taken.unionByName(part)
+        if over is None:
+            break
+        left -= part.agg(F.sum(size)).first()[0] or 0
+        todo = materialize(placed.filter(F.col("_at") > F.struct(F.lit(over["turn"]).alias("turn"), F.lit(over[group]).alias(group))).drop("_upto"), "bundles")
+        if not todo.limit(1).count():
+            break
+    taken = todo.limit(0) if taken is None else taken
+    return taken.drop("_at")
+
+
 def running_offsets(rows: DataFrame, keys: list[str], order: str, size: Column, parts: int = 64) -> DataFrame:
     """``start`` of each row in its key's stream. Two levels: parts of the order are summed first, so that no task sorts a
     whole key; the parts' sums are a table of keys times ``parts``."""

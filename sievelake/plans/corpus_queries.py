@@ -10,7 +10,7 @@ from sievelake.operators import dedup, neardup, overlap, select, splits, transfo
 from sievelake.operators.filters import quality_reason
 from sievelake.plans.text_queries import LEXEMES, NORMAL, UNIT
 from sievelake.registry import register
-from sievelake.session import table
+from sievelake.session import materialize, table
 
 #: Distinct 5-token shingles of texts that have 64 or more.
 SETS = f"""
@@ -18,37 +18,67 @@ tok AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELE
 win AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p || ' ' || lead(w, 4) OVER p AS g FROM tok WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 uniq AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM win WHERE g IS NOT NULL),
 sizes AS (SELECT doc_id, count(*) AS n FROM uniq GROUP BY 1 HAVING count(*) >= 64),
+-- classes --
 flat AS MATERIALIZED (SELECT doc_id, n, g FROM uniq JOIN sizes USING (doc_id) WHERE g IN (SELECT g FROM uniq GROUP BY g HAVING count(*) > 1)),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM flat x JOIN flat y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 pairs AS (SELECT a, b, c / (na + nb - c) AS jaccard FROM common WHERE c / (na + nb - c) >= 0.85)"""
 
 
+#: The same for the smallest id of each distinct set.
+CLASSES = """class AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k) AS class FROM (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(0) ORDER BY g)) AS k FROM uniq GROUP BY 1 HAVING count(*) >= 64)),"""
+FIRST_SETS = SETS.replace("-- classes --", CLASSES).replace("JOIN sizes USING (doc_id)", "JOIN (SELECT doc_id, n FROM class WHERE doc_id = class) USING (doc_id)")
+SETS = SETS.replace("-- classes --\n", "")
+
+
 def sets(spark, d):
     return neardup.shingle_sets(table(spark, d, "documents"), "doc_id", "text")
 
 
-@register("near_dup_pairs", f"WITH {SETS} SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs")
+def first_sets(spark, d):
+    return materialize(neardup.representatives(materialize(sets(spark, d), "shingle-sets"), "doc_id"), "representatives")
+
+
+@register("near_dup_classes", f"WITH {FIRST_SETS} SELECT doc_id, class FROM class")
+def near_dup_classes(spark, d):
+    """The class of each text that is compared: the smallest id with the same set of shingles."""
+    return neardup.set_classes(sets(spark, d), "doc_id")
+
+
+@register("near_dup_pairs", f"WITH {FIRST_SETS} SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs")
 def near_dup_pairs(spark, d):
-    """All pairs of texts whose shingle sets are alike; exact, by prefix filtering."""
-    return neardup.similar_pairs(sets(spark, d), "doc_id").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    """All pairs of classes whose shingle sets are alike, by their smallest ids; exact, by prefix filtering."""
+    return neardup.similar_pairs(first_sets(spark, d), "doc_id").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @register("near_dup_lsh_recall")
 def near_dup_lsh_recall(spark, d):
     """How many of the exact pairs the bands find."""
-    made = sets(spark, d)
+    made = first_sets(spark, d)
     exact = neardup.similar_pairs(made, "doc_id")
     banded = neardup.band_pairs(made, "doc_id").select("a", "b", F.lit(True).alias("found"))
     return exact.join(banded, ["a", "b"], "left").agg(F.count("*").alias("n_pairs"), F.count("found").alias("n_found"))
 
 
-@register("near_dup_lsh_pairs", f"WITH {SETS} SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs")
+@register("near_dup_lsh_pairs", f"WITH {FIRST_SETS} SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs")
 def near_dup_lsh_pairs(spark, d):
     """The same pairs from bands of MinHash signatures, verified."""
-    made = sets(spark, d)
+    made = first_sets(spark, d)
     return neardup.similar_pairs(made, "doc_id", candidates=neardup.band_pairs(made, "doc_id")).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
+@register("file_removal_reasons", """
+WITH b AS (SELECT doc_id, doc_id % 7 AS tree, lang || doc_id % 3 AS style, lang = 'en' AS python FROM documents),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY tree, style) AS copy, min(CASE WHEN python THEN doc_id END) OVER (PARTITION BY tree) AS first FROM b)
+SELECT doc_id, CASE WHEN python AND copy <> first THEN 'short_ast_duplicate' WHEN doc_id <> copy THEN 'exact_normalized' END AS reason FROM f
+""")
+def file_removal_reasons(spark, d):
+    """Why short source files go: same text, or in Python the same syntax tree in another style."""
+    n = F.col("doc_id")
+    style = F.concat(F.lit("  # "), "lang", (n % 3).cast("string"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.concat(F.lit("def f(a):\n    return a + "), (n % 7).cast("string"), style, F.lit("\n")).alias("body"))
+    return neardup.removal_reasons(docs, "doc_id", "body", F.col("lang") == "en")
+
+
 @register("near_dup_greedy_kept", f"""
 WITH RECURSIVE {SETS},
 e AS MATERIALIZED (SELECT a, b FROM pairs),
@@ -259,6 +289,18 @@ def round_robin(spark, d):
     return select.round_robin(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 50)
 
 
+@register("bundle_round_robin", """
+WITH RECURSIVE b AS (SELECT source, doc_id, doc_id % 6 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY turn, source) AS r FROM b),
+w(r, total, taken) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT o.r, CASE WHEN w.total + o.size <= 403 THEN w.total + o.size ELSE w.total END, w.total + o.size <= 403 FROM w JOIN o ON o.r = w.r + 1)
+SELECT o.source, o.doc_id, o.size, o.turn FROM w JOIN o ON o.r = w.r WHERE w.taken AND o.size > 0
+""")
+def bundle_round_robin(spark, d):
+    """Bundles by turns from each source, whole ones only, until 403 items."""
+    docs = table(spark, d, "documents").select("source", "doc_id", (F.col("doc_id") % 6).alias("size"))
+    return select.bundle_round_robin(docs, "source", "doc_id", "size", 403)
+
+
 @register("pack_offsets", """
 SELECT doc_id, lang, (sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) - n_chars)::BIGINT AS start, n_chars FROM documents
 """)
