@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from sievelake.session import materialize
 
 RING = 1 << 32
-#: Parts of an arc that are ranked by themselves; they bound the rows that one task must sort. Equal rows beyond ``EQUAL``
-#: have parts of their own.
+#: Parts of an arc that are ranked by themselves; they bound the rows that one task must sort. A part is large if it has over
+#: ``EQUAL`` rows and four times the mean; so many equal rows have parts of their own.
 CELLS_PER_ARC, EQUAL = 64, 20_000
 
 
@@ -91,17 +91,23 @@ def shard_rows(rows: DataFrame, key: Column, tie: Column, shards: int, vnodes: i
     """
     points = ring_points(shards, vnodes)
     place = F.pmod(F.xxhash64(key), F.lit(RING))
-    placed = rows.withColumn("_place", place).withColumn("_tie", tie).withColumn("_arc", arc_of(F.col("_place"), points))
-    alike = placed.groupBy("_place", "_tie").agg(F.count("*").alias("_n")).filter(F.col("_n") > EQUAL)
-    # At most the number of rows divided by EQUAL.
-    alike = F.broadcast(alike.select("_place", "_tie", F.row_number().over(Window.orderBy("_place", "_tie")).alias("_many")))
-    part = (F.col("_many") * CELLS_PER_ARC + F.pmod(F.monotonically_increasing_id(), F.lit(CELLS_PER_ARC))).cast("int")
-    cell = F.pmod(F.xxhash64("_place", "_tie"), F.lit(CELLS_PER_ARC)).cast("int")
-    placed = placed.join(alike, ["_place", "_tie"], "left").withColumn("_cell", F.coalesce(part, cell)).drop("_many")
+    cell = F.pmod(F.xxhash64("_place", "_tie"), F.lit(CELLS_PER_ARC)).cast("long")
+    placed = rows.withColumn("_place", place).withColumn("_tie", tie).withColumn("_arc", arc_of(F.col("_place"), points)).withColumn("_cell", cell)
     placed = materialize(placed, "placed")
-    cells = placed.groupBy("_arc", "_cell").agg(F.count("*").alias("_n"))
+    sizes = materialize(placed.groupBy("_arc", "_cell").agg(F.count("*").alias("_n")), "sizes")
+    facts = sizes.agg(F.max("_n").alias("most"), F.avg("_n").alias("mean")).first()
+    limit = max(EQUAL, 4 * int(facts["mean"] or 0))
+    if (facts["most"] or 0) > limit:
+        # Of large parts, and of rows that are equal so often, there are at most the number of rows divided by the limit.
+        large = F.broadcast(sizes.filter(F.col("_n") > limit).select("_arc", "_cell"))
+        alike = placed.join(large, ["_arc", "_cell"]).groupBy("_place", "_tie").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+        number = F.shiftleft(F.row_number().over(Window.orderBy("_place", "_tie")).cast("long"), 24)
+        alike = F.broadcast(alike.select("_place", "_tie", number.alias("_many"), F.ceil(F.col("_n") / limit).alias("_parts")))
+        own = F.col("_many") + F.pmod(F.monotonically_increasing_id(), F.col("_parts"))
+        placed = materialize(placed.join(alike, ["_place", "_tie"], "left").withColumn("_cell", F.coalesce(own, "_cell")).drop("_many", "_parts"), "placed")
+        sizes = placed.groupBy("_arc", "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_arc").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = materialize(cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "cells")
+    cells = materialize(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "cells")
     counts = {r["_arc"]: r["n"] for r in cells.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
     runs = fill(counts, [s for _, s in points], capacities(sum(counts.values()), shards, slack))
     plan = F.from_json(
