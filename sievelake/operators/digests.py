@@ -40,5 +40,7 @@ def ordered_digest(rows: DataFrame, keys: list[str], order: str, line: Column) -
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], pa.string()) for i in range(len(names) + 1)], names=[*names, "digest"])
 
     made = dealt.mapInArrow(run, ", ".join(f"{n} string" for n in [*names, "digest"]))
-    types = dict(rows.select(*keys).dtypes) if keys else {}
+    if not keys:
+        return made.agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256(b"").hexdigest())).alias("digest"))
+    types = dict(rows.select(*keys).dtypes)
     return made.select(*[F.col(n).cast(types[k]).alias(k) for k, n in zip(keys, names)], "digest")

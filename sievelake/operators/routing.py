@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,20 +98,36 @@ def coactivation(tokens: DataFrame, order: str, experts: str) -> DataFrame:
     return inside.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
-def pack_experts(load: dict[int, int], edges: dict[tuple[int, int], int], page_size: int) -> dict[int, int]:
-    """Pages of experts: the most loaded opens a page, those closest to its members join. The experts of one
-    model are a small, fixed set, so this runs on the driver."""
-    left, page, pages = dict(load), 0, {}
-    weight = lambda a, b: edges.get((min(a, b), max(a, b)), 0)
-    while left:
-        members: list[int] = []
-        while left and len(members) < page_size:
-            best = max(left, key=lambda e: (sum(weight(e, m) for m in members), left[e], -e))
-            members.append(best)
-            left.pop(best)
-        pages.update(dict.fromkeys(members, page))
-        page += 1
-    return pages
+#: Experts that are packed on the driver at most: a model's, not a corpus's.
+MOST_EXPERTS = 4096
+
+
+def expert_pages(load: DataFrame, edges: DataFrame, per_page: int) -> dict[int, int]:
+    """Page of each expert, from ``load`` (expert, n) and ``edges`` (a, b, weight).
+
+    A page opens with the most loaded expert left and grows by the one with the
+    most weight to its members, then the most load, then the smallest number.
+    The weights to the open page are kept as one array, updated by each member.
+    """
+    rows = load.orderBy("expert").limit(MOST_EXPERTS + 1).toPandas()
+    if len(rows) > MOST_EXPERTS:
+        raise ValueError(f"more than {MOST_EXPERTS} experts")
+    names, heavy = rows["expert"].to_numpy(), rows["n"].to_numpy(dtype=np.float64)
+    place = {int(e): i for i, e in enumerate(names)}
+    weight = np.zeros((len(names), len(names)))
+    for r in edges.groupBy("a", "b").agg(F.sum("weight").alias("w")).toLocalIterator():
+        if r["a"] in place and r["b"] in place:
+            i, j = place[r["a"]], place[r["b"]]
+            weight[i, j] += r["w"]
+            weight[j, i] += r["w"] if i != j else 0
+    page, free = np.full(len(names), -1), np.ones(len(names), bool)
+    for n in range(len(names)):
+        if n % per_page == 0:
+            near = np.zeros(len(names))
+        best = np.lexsort((names, -heavy, -near, ~free))[0]
+        page[best], free[best] = n // per_page, False
+        near += weight[best]
+    return {int(e): int(p) for e, p in zip(names, page)}
 
 
 def router_top_k(scores: Column, k: int) -> Column:

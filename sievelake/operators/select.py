@@ -115,7 +115,7 @@ def bundle_round_robin(bundles: DataFrame, group: str, order: str, size: str, ta
         if not todo.limit(1).count():
             break
     taken = todo.limit(0) if taken is None else taken
-    return taken.drop("_at")
+    return taken.select(group, order, size, "turn")
 
 
 def running_offsets(rows: DataFrame, keys: list[str], order: str, size: Column, parts: int = 64) -> DataFrame:

@@ -8,17 +8,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = "scenario string, accesses long, vram_hits long, ram_hits long, reads long, evictions long, bytes_ssd long, bytes_ram long, stall double"
+SCENARIO = (
+    "scenario string, vram_bytes long, ram_bytes long, policy string, pinned array<long>, "
+    "ssd_bytes_s double, ssd_latency_s double, ram_bytes_s double, ram_latency_s double, prefetch_window_s double"
+)
+CACHE = (
+    "scenario string, tokens long, accesses long, vram_hits long, ram_hits long, reads long, evictions long, bytes_ssd long, bytes_ram long, "
+    "stall double, hidden double, issued_bytes long, useful_bytes long, wasted_bytes long"
+)
 
 
 class Tier:
-    """Pages of equal size in a tier of limited bytes; the least recent (or least frequent) one that isn't pinned leaves."""
+    """Pages in a tier of limited bytes; the least recent (or least frequent) ones that aren't pinned leave."""
 
-    def __init__(self, pages: int, policy: str, pinned: frozenset[int] = frozenset()):
-        self.pages, self.policy, self.pinned = pages, policy, pinned
+    def __init__(self, room: int, sizes: dict[int, int], policy: str, pinned: frozenset[int] = frozenset()):
+        self.room, self.sizes, self.policy, self.pinned = room, sizes, policy, pinned
         self.held: OrderedDict[int, None] = OrderedDict()
         self.uses: dict[int, int] = {}
-        self.evictions = 0
+        self.used = self.evictions = 0
 
     def use(self, page: int) -> bool:
         """Whether the page was there; it is afterwards, if the tier has room for it."""
@@ -26,52 +33,119 @@ class Tier:
         if page in self.held:
             self.held.move_to_end(page)
             return True
-        if self.pages < 1:
+        size = self.sizes[page]
+        if size > self.room:
             return False
-        if len(self.held) >= self.pages:
+        while self.used + size > self.room:
             free = [p for p in self.held if p not in self.pinned]
             if not free:
                 return False
             gone = min(free, key=lambda p: self.uses[p]) if self.policy == "lfu" else free[0]
             del self.held[gone]
+            self.used -= self.sizes[gone]
             self.evictions += 1
         self.held[page] = None
+        self.used += size
         return False
 
 
-def cache_replay(accesses: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Each scenario (scenario, vram_pages, ram_pages, page_bytes, policy, pinned, ssd_bytes_s, ram_bytes_s) over the whole
-    trace (order, page) in order. Scenarios are few; each is one ordered fold, streamed in batches."""
-    dealt = accesses.crossJoin(F.broadcast(scenarios)).repartition("scenario").sortWithinPartitions("scenario", "order")
+class Replay:
+    """One scenario over a trace, token by token.
 
-    def run(frames):
-        now, state = None, None
-        out = []
+    A page that misses the first tier comes over the second one's bandwidth and
+    latency, and if that misses too, over the store's first. After each token its
+    predictions start transfers within the prefetch window; a later demand waits
+    only for the rest. What was started and is neither used by the next token nor
+    predicted again is waste, and costs its whole transfer.
+    """
 
-        def done():
-            out.append((now, *state["n"], state["vram"].evictions + state["ram"].evictions, *state["bytes"], state["stall"]))
+    def __init__(self, scenario, sizes: dict[int, int]):
+        self.s, self.sizes = scenario, sizes
+        self.vram, self.ram = Tier(scenario.vram_bytes, sizes, scenario.policy, frozenset(scenario.pinned)), Tier(scenario.ram_bytes, sizes, scenario.policy)
+        self.started: dict[int, tuple[float, bool]] = {}
+        self.tokens = self.accesses = self.vram_hits = self.ram_hits = self.reads = self.bytes_ssd = self.bytes_ram = 0
+        self.issued = self.useful = self.wasted = 0
+        self.stall = self.hidden = 0.0
+
+    def cost(self, page: int, from_store: bool) -> float:
+        size = self.sizes[page]
+        return size / self.s.ram_bytes_s + self.s.ram_latency_s + (size / self.s.ssd_bytes_s + self.s.ssd_latency_s if from_store else 0.0)
+
+    def demand(self, page: int) -> None:
+        self.accesses += 1
+        if self.vram.use(page):
+            self.vram_hits += 1
+            return
+        cached, size = self.ram.use(page), self.sizes[page]
+        if cached:
+            self.ram_hits += 1
+        else:
+            self.reads += 1
+            self.bytes_ssd += size
+        wait = self.cost(page, not cached)
+        if page in self.started:
+            saved = min(wait, self.started.pop(page)[0])
+            wait, self.hidden, self.useful = wait - saved, self.hidden + saved, self.useful + size
+        self.bytes_ram += size
+        self.stall += wait
+
+    def waste(self, pages: list[int]) -> None:
+        for page in pages:
+            from_store, size = self.started.pop(page)[1], self.sizes[page]
+            self.wasted += size
+            self.bytes_ram += size
+            self.stall += size / self.s.ram_bytes_s
+            if from_store:
+                self.reads += 1
+                self.bytes_ssd += size
+                self.stall += size / self.s.ssd_bytes_s + self.s.ssd_latency_s
+
+    def token(self, pages, predicted) -> None:
+        for page in pages:
+            self.demand(page)
+        left = self.s.prefetch_window_s
+        for page in dict.fromkeys(predicted):
+            if page not in self.sizes or page in self.vram.held or page in self.started:
+                continue
+            from_store = page not in self.ram.held
+            ahead = min(self.cost(page, from_store), left)
+            if ahead > 0:
+                left -= ahead
+                self.started[page] = (ahead, from_store)
+                self.issued += self.sizes[page]
+        if self.tokens:
+            self.waste([p for p in self.started if p not in set(pages) and p not in set(predicted)])
+        self.tokens += 1
+
+    def row(self) -> tuple:
+        self.waste(list(self.started))
+        return (
+            self.s.scenario, self.tokens, self.accesses, self.vram_hits, self.ram_hits, self.reads, self.vram.evictions + self.ram.evictions,
+            self.bytes_ssd, self.bytes_ram, self.stall, self.hidden, self.issued, self.useful, self.wasted,
+        )
+
+
+def cache_replay(trace: DataFrame, sizes: dict[int, int], scenarios: DataFrame) -> DataFrame:
+    """Each scenario (SCENARIO) over the whole trace (order, pages, predicted) in order: the columns of CACHE.
+
+    ``sizes``: bytes of each page, a model's own small table. Scenarios are few;
+    each is one ordered fold over a stream of batches that holds the tiers alone.
+    Null lists are empty; a trace without rows gives no rows.
+    """
+    listed = trace.select("order", *[F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("pages", "predicted")])
+    dealt = listed.crossJoin(F.broadcast(scenarios)).repartition("scenario").sortWithinPartitions("scenario", "order")
 
+    def run(frames):
+        replay, out = None, []
         for frame in frames:
             for row in frame.itertuples(index=False):
-                if row.scenario != now:
-                    if now is not None:
-                        done()
-                    now = row.scenario
-                    state = {"vram": Tier(row.vram_pages, row.policy, frozenset(row.pinned)), "ram": Tier(row.ram_pages, row.policy), "n": [0, 0, 0, 0], "bytes": [0, 0], "stall": 0.0}
-                state["n"][0] += 1
-                if state["vram"].use(row.page):
-                    state["n"][1] += 1
-                    continue
-                if state["ram"].use(row.page):
-                    state["n"][2] += 1
-                else:
-                    state["n"][3] += 1
-                    state["bytes"][0] += row.page_bytes
-                    state["stall"] += row.page_bytes / row.ssd_bytes_s
-                state["bytes"][1] += row.page_bytes
-                state["stall"] += row.page_bytes / row.ram_bytes_s
-        if now is not None:
-            done()
+                if replay is None or row.scenario != replay.s.scenario:
+                    if replay is not None:
+                        out.append(replay.row())
+                    replay = Replay(row, sizes)
+                replay.token([int(p) for p in row.pages], [int(p) for p in row.predicted])
+        if replay is not None:
+            out.append(replay.row())
         yield pd.DataFrame(out, columns=[f.split()[0] for f in CACHE.split(", ")])
 
     return dealt.mapInPandas(run, CACHE)
@@ -104,6 +178,16 @@ def critic_cache(puts: DataFrame, key: str, order: str, result: str) -> DataFram
 
 def compacted_fields(fields: DataFrame, key: str, order: str, boundaries: int, ratio: float) -> DataFrame:
     """Fields that survive repeated compaction: each boundary keeps the first max(n / ratio, 1) of them."""
-    listed = fields.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("f"))
-    kept = F.aggregate(F.sequence(F.lit(1), F.lit(boundaries)), F.size("f"), lambda n, _: F.greatest(F.floor(n / ratio).cast("int"), F.lit(1)))
-    return listed.select(key, F.size("f").alias("n_before"), kept.alias("n_after"), (kept / F.size("f")).alias("retention"))
+    counted = fields.groupBy(key).agg(F.count(order).cast("int").alias("n"))
+    kept = F.aggregate(F.sequence(F.lit(1), F.lit(boundaries)), F.col("n"), lambda n, _: F.greatest(F.floor(n / ratio).cast("int"), F.lit(1)))
+    return counted.select(key, F.col("n").alias("n_before"), kept.alias("n_after"), (kept / F.col("n")).alias("retention"))
+
+
+def field_retention(facts: DataFrame, recovered: DataFrame, key: str, field: str, value: str) -> DataFrame:
+    """``key``, ``n_fields``, ``n_exact``, ``retention``, ``lost``: which of each record's facts (key, field, value) came back with
+    the same value. A missing field is lost, a null value comes back only as null; fields that were no facts don't count."""
+    back = recovered.select(key, field, F.col(value).alias("_back"), F.lit(True).alias("_there")).dropDuplicates([key, field])
+    same = F.coalesce("_there", F.lit(False)) & F.col(value).eqNullSafe(F.col("_back"))
+    joined = facts.select(key, field, value).join(back, [key, field], "left").withColumn("_same", same)
+    out = joined.groupBy(key).agg(F.count("*").alias("n_fields"), F.count_if("_same").alias("n_exact"), F.array_sort(F.collect_list(F.when(~F.col("_same"), F.col(field)))).alias("lost"))
+    return out.select(key, "n_fields", "n_exact", (F.col("n_exact") / F.col("n_fields")).alias("retention"), "lost")

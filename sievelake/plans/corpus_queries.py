@@ -201,6 +201,21 @@ def benchmark_phrase_containment(spark, d):
     return overlap.phrase_containment(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
 
+@register("benchmark_task_screen", f"""
+WITH d AS (SELECT doc_id, ' ' || array_to_string({LEXEMES.replace('(text', '(lower(text)')}, ' ') || ' ' AS line FROM documents),
+b AS (SELECT item_id, text FROM benchmark UNION ALL SELECT 100000 + doc_id, substr(text, 1, 400) FROM documents WHERE doc_id % 100 = 0),
+t AS (SELECT item_id, {LEXEMES.replace('(text', '(lower(text)')} AS t FROM b),
+k AS (SELECT item_id, 'reference' AS kind, t FROM t WHERE len(t) >= 32 UNION ALL SELECT item_id, 'prompt', t FROM t WHERE len(t) >= 12)
+SELECT doc_id, item_id AS ref, kind FROM d JOIN k ON contains(line, ' ' || array_to_string(t, ' ') || ' ')
+""")
+def benchmark_task_screen(spark, d):
+    """Documents that hold a task's reference of 32 tokens or a prompt's prose of 12; prompts come as docstrings with examples."""
+    docs = table(spark, d, "documents")
+    tasks = table(spark, d, "benchmark").select("item_id", "text").union(docs.filter("doc_id % 100 = 0").select(100000 + F.col("doc_id"), F.substring("text", 1, 400)))
+    prompt = F.concat(F.lit('def f(x):\n    """  # '), "text", F.lit('\n    >>> f(1)\n    2\n    """\n    return x'))
+    return overlap.task_screen(docs, "doc_id", "text", tasks.withColumn("prompt", prompt), "item_id", "prompt", "text")
+
+
 @register("clean_corpus", f"""
 WITH d AS (SELECT *, ' ' || array_to_string({LEXEMES.replace('(text', '(lower(text)')}, ' ') || ' ' AS line FROM documents), b AS (SELECT {LEXEMES.replace('(text', '(lower(text)')} AS t FROM benchmark)
 SELECT source, count(*) AS n FROM d WHERE length(regexp_replace(text, '\\s+', '', 'g')) >= 64 AND NOT EXISTS (SELECT 1 FROM b WHERE len(t) >= 12 AND contains(line, ' ' || array_to_string(t, ' ') || ' '))

@@ -336,9 +336,8 @@ def coactivation_edges(spark, d):
 def expert_pages(spark, d):
     """Pages of experts that are used together; six experts, so the packing runs on the driver."""
     rows = _traces(spark, d)
-    load = {r["e"]: r["n"] for r in rows.select(F.explode("experts").alias("e")).groupBy("e").agg(F.count("*").alias("n")).collect()}
-    edges = {(r["a"], r["b"]): r["weight"] for r in routing.coactivation(rows, "event_id", "experts").collect()}
-    pages = routing.pack_experts(load, edges, 2)
+    load = rows.select(F.explode("experts").alias("expert")).groupBy("expert").agg(F.count("*").alias("n"))
+    pages = routing.expert_pages(load, routing.coactivation(rows, "event_id", "experts"), 2)
     return spark.createDataFrame(sorted(pages.items()), "expert long, page int")
 
 
@@ -418,11 +417,12 @@ def event_props_json(spark, d):
 
 @register("cache_simulation")
 def cache_simulation(spark, d):
-    """Two-tier caches of several sizes and policies over one trace."""
-    trace = table(spark, d, "events").select(F.col("event_id").alias("order"), (F.col("user_id") % 50).alias("page"))
-    rows = [(f"{p}-{v}", v, v * 2, 1_000_000, p, [1, 2] if p == "pinned" else [], 5e8, 1e10) for v in (4, 16) for p in ("lru", "lfu", "pinned")]
-    scenarios = spark.createDataFrame(rows, "scenario string, vram_pages int, ram_pages int, page_bytes long, policy string, pinned array<long>, ssd_bytes_s double, ram_bytes_s double")
-    return simulate.cache_replay(trace, scenarios)
+    """Two-tier caches of several sizes and policies over one trace, each event's page predicted by the one before."""
+    events = table(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("page"), (F.col("user_id") * 7 % 50).alias("guess"))
+    trace = events.select(F.col("event_id").alias("order"), F.array("page").alias("pages"), F.array("guess").alias("predicted"))
+    sizes = {page: 500_000 + 20_000 * page for page in range(50)}
+    rows = [(f"{p}-{v}", v * 1_000_000, v * 2_000_000, p, [1, 2] if p == "pinned" else [], 5e8, 1e-4, 1e10, 1e-5, 1e-3) for v in (4, 16) for p in ("lru", "lfu", "pinned")]
+    return simulate.cache_replay(trace, sizes, spark.createDataFrame(rows, simulate.SCENARIO))
 
 
 @register("lease_queue_replay")
@@ -445,6 +445,20 @@ def generator_quality(spark, d):
     return table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("model"), F.col("event_type").alias("metric")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
+@register("field_retention", """
+WITH f AS (SELECT conv_id, 'f' || turn AS field, text AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+x AS (SELECT *, r <= greatest(n // 2, 1) AND turn_ok AS same FROM (SELECT *, r % 3 > 0 AS turn_ok FROM f))
+SELECT conv_id, count(*) AS n_fields, count(*) FILTER (WHERE same) AS n_exact, round(count(*) FILTER (WHERE same) / count(*), 9) AS retention, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE NOT same), '') AS lost FROM x GROUP BY 1
+""")
+def field_retention(spark, d):
+    """Which turns come back with their text after the first half was kept and each third one changed."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    facts = table(spark, d, "conversations").select("conv_id", F.concat(F.lit("f"), "turn").alias("field"), F.col("text").alias("v"), F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"))
+    back = facts.filter(F.col("r") <= F.greatest(F.floor(F.col("n") / 2), F.lit(1))).withColumn("v", F.when(F.col("r") % 3 == 0, F.concat("v", F.lit("!"))).otherwise(F.col("v")))
+    made = simulate.field_retention(facts, back, "conv_id", "field", "v")
+    return made.withColumns({"retention": F.round("retention", 9), "lost": F.array_join("lost", ",")})
+
+
 @register("compacted_fields", """
 WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), a AS (SELECT conv_id, n, greatest(floor(n / 1.5), 1)::INT AS x FROM n)
 SELECT conv_id, n AS n_before, greatest(floor(x / 1.5), 1)::INT AS n_after, round(greatest(floor(x / 1.5), 1) / n, 9) AS retention FROM a

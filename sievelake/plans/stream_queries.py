@@ -44,6 +44,17 @@ def streaming_collapse(spark, d):
     return streams.drain(streams.collapse_signals(streams.folder_stream(spark, f"{d}/events.parquet"), 10.0, 3), "update", lambda m: evalstats.latest(m, ["user_id"], "batch").drop("batch"))
 
 
+@register("streaming_leases")
+def streaming_leases(spark, d):
+    """Tasks after all lease and completion events of a stream; leases end by timers of event time."""
+    events = streams.folder_stream(spark, f"{d}/events.parquet")
+    kind = F.when(F.col("event_type") == "purchase", "complete").otherwise("lease")
+    rows = events.select((F.col("event_id") % 97).alias("task"), F.col("ts").alias("at"), F.col("event_id").alias("event"), kind.alias("kind"), (F.col("user_id") % 3).cast("string").alias("owner"))
+    last = F.struct("batch", "change")
+    made = streams.drain(streams.lease_timers(rows, 3600.0), "update", lambda m: m.groupBy("task").agg(*[F.max_by(c, last).alias(c) for c in ("status", "owner", "n_leases")]))
+    return made.select("task", "status", "owner", "n_leases")
+
+
 @register("resumed_reader", "SELECT doc_id FROM documents WHERE doc_id >= 37 ORDER BY doc_id LIMIT 25")
 def resumed_reader(spark, d):
     return streams.after_cursor(table(spark, d, "documents").select("doc_id"), "doc_id", 37, 25)

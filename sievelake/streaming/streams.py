@@ -56,6 +56,50 @@ def collapse_signals(stream: DataFrame, threshold: float, run: int) -> DataFrame
     return stream.groupBy("user_id").applyInPandasWithState(update, "user_id long, longest int, collapsed boolean", "now int, longest int", "update", GroupStateTimeout.NoTimeout)
 
 
+def lease_timers(stream: DataFrame, lease_seconds: float, late: str = "0 seconds") -> DataFrame:
+    """``task``, ``status``, ``owner``, ``n_leases``, ``at`` after each change, from events (task, at timestamp, event, kind, owner).
+
+    A lease holds for ``lease_seconds`` of event time. A timer ends it when the
+    watermark passes its end, with no further event of the task; an event after
+    the end finds the task pending as well. Only the owner of a running lease
+    completes a task. State is one small row a task. Events with null tasks or
+    times are dropped; events of one time go by their number.
+    """
+
+    def update(key, frames, state):
+        status, owner, until, leases = state.get if state.exists else ("pending", None, 0, 0)
+        changes = []
+        if state.hasTimedOut:
+            if status == "leased":
+                status, owner = "pending", None
+                changes.append((status, owner, leases, until))
+        else:
+            rows = pd.concat(list(frames)).sort_values(["at", "event"])
+            for at, kind, who in zip((rows["at"].astype("int64") // 10**3 if str(rows["at"].dtype).endswith("[ns]") else rows["at"].astype("datetime64[us]").astype("int64")), rows["kind"], rows["owner"]):
+                if status == "leased" and until <= at:
+                    status, owner = "pending", None
+                    changes.append((status, owner, leases, until))
+                if kind == "lease" and status == "pending":
+                    status, owner, until, leases = "leased", who, int(at + lease_seconds * 1e6), leases + 1
+                elif kind == "complete" and status == "leased" and owner == who:
+                    status = "done"
+                else:
+                    continue
+                changes.append((status, owner, leases, int(at)))
+        state.update((status, owner, until, leases))
+        if status == "leased":
+            state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        made = pd.DataFrame(changes, columns=["status", "owner", "n_leases", "at"])
+        made.insert(0, "task", key[0])
+        made["change"] = range(len(made))
+        made["at"] = pd.to_datetime(made["at"], unit="us", utc=True)
+        yield made
+
+    timed = stream.select("task", F.col("at").cast("timestamp").alias("at"), "event", "kind", "owner").filter("task IS NOT NULL AND at IS NOT NULL").withWatermark("at", late)
+    schema = "task long, status string, owner string, n_leases int, at timestamp, change int"
+    return timed.groupBy("task").applyInPandasWithState(update, schema, "status string, owner string, until long, n_leases int", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def after_cursor(rows: DataFrame, order: str, cursor: int, n: int) -> DataFrame:
     """The next n rows from a cursor: a resumed reader sees what an uninterrupted one sees."""
     return rows.filter(F.col(order) >= cursor).orderBy(order).limit(n)

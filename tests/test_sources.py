@@ -42,6 +42,16 @@ def test_csv_and_junit(spark, tmp_path):
     assert tuple(readers.junit_totals(spark, write(tmp_path / "x.xml", body)).first()) == (7, 1, 2)
 
 
+def test_json_fields_at_any_depth(spark):
+    deep = '"end"'
+    for i in range(14):
+        deep = '{"answer": "level %d", "x": [%s]}' % (i, deep)
+    rows = spark.createDataFrame([(1, deep), (2, '{"answer": ["not", {"answer": 5}], "prompt": null}'), (3, "{bad"), (4, None), (5, '[{"prompt": "p"}]'), (6, '"answer"')], "k long, body string")
+    got = sorted((r.k, r.label, r.value) for r in readers.json_fields(rows, "k", "body", ["answer", "prompt"]).collect())
+    assert got == sorted([(1, "answer", f"level {i}") for i in range(14)] + [(5, "prompt", "p")])
+    assert readers.json_fields(rows.limit(0), "k", "body", ["answer"]).count() == 0
+
+
 def test_traces(spark, tmp_path):
     record = struct.pack("<ii2i2f", 1, 5, 3, 4, 0.75, 0.25)
     write(tmp_path / "t.bin", record * 3, "wb")
