@@ -53,7 +53,7 @@ def test_near_threshold_is_exact(spark):
 
 def test_one_line_on_every_page(spark, monkeypatch):
     """A line that a third of all rows hold is broadcast; others are met in the shuffle."""
-    monkeypatch.setattr(lines.join_counted, "__defaults__", (30,))
+    monkeypatch.setattr(lines.join_counted, "__defaults__", (4,))
     rows = [(i, f"s{i % 23}", "\n".join([f"own {i}", "menu", *[f"shared {k}" for k in range(5) if i % (k + 2) == 0]])) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert sorted(((r.doc_id, r.text) for r in lines.dedup_lines(docs, min_sites=5).collect()), key=str) == sorted(brute(rows, 5), key=str)

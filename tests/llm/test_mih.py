@@ -72,7 +72,7 @@ def test_hot_vectors_and_values(spark, monkeypatch):
     """A third of all rows share one vector, another third one byte of their codes."""
     for name, value in (("INDEX_BLOCK", 50), ("QUERY_BLOCK", 8), ("WANTED", 1.0)):
         monkeypatch.setattr(mih, name, value)
-    monkeypatch.setattr(mih.join_counted, "__defaults__", (5,))
+    monkeypatch.setattr(mih.join_counted, "__defaults__", (4,))
     rng = np.random.default_rng(2)
     rows = [(i, [1.0, 2.0, 0.5, 0.0, -1.0, 0.25, 3.0, 1.0, 0.5, 0.125]) for i in range(400)]
     rows += [(i, (np.array([4.0] * 8 + [0.0, 0.0]) + 0.01 * rng.normal(size=10)).tolist() if i < 800 else rng.normal(size=10).tolist()) for i in range(400, 1200)]

@@ -166,8 +166,7 @@ def test_sets_against_brute_force():
 
 def test_one_group_holds_a_third_of_all_rows(spark, monkeypatch):
     """Equal texts share one fingerprint, and copies near them one component: both are hot keys of the joins."""
-    monkeypatch.setattr("sievelake.llm.skew.HOT", 50)
-    monkeypatch.setattr(simhash.join_counted, "__defaults__", (50,))
+    monkeypatch.setattr(simhash.join_counted, "__defaults__", (4,))
     rng = np.random.default_rng(8)
     texts = ["a b c d e f g"] * 300 + [" ".join(rng.choice([f"w{i}" for i in range(400)], 40)) for _ in range(500)] + [None] * 100
     out = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
