@@ -1,4 +1,10 @@
-"""Curation of ``documents`` into training sequences: quality, lines, near-duplicates, packing."""
+"""Curation of ``documents`` into training sequences: quality, lines, near-duplicates, packing.
+
+Each stage takes nulls in any column, empty and very long texts, repeated rows,
+empty tables and further columns; what it does with them is in its operator's
+docstring: ``quality.keep_good``, ``lines.dedup_lines``, ``simhash.keep_one`` and
+``packing.pack``.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +16,22 @@ from sievelake.session import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the word rules or lie outside their compression bands go."""
+    """Documents that fail the word rules or lie outside their compression bands go, null and empty texts among them."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sites stay at their first place only; all documents stay."""
+    """Lines on many sites stay at their first place only; all documents stay, a null source is no site."""
     return lines.dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the smallest id, null ids last."""
     return simhash.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, cut into power-of-two sequences."""
+    """Token ids of all documents, cut into power-of-two sequences; rows with null ids are packed each for itself."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -40,18 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """This application's own part of the shared folder; its files go when the application ends."""
+    """This application's own part of the shared folder, with its scheme; its files go when the application ends."""
     folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
-    if folder not in _MARKED:
-        _MARKED.add(folder)
+    if folder not in _QUALIFIED:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         files.mkdirs(path)
         files.deleteOnExit(path)
-    return folder
+        _QUALIFIED[folder] = files.makeQualified(path).toString()
+    return _QUALIFIED[folder]
 
 
-_MARKED: set[str] = set()
+#: Folders of running applications that have been made, with their schemes.
+_QUALIFIED: dict[str, str] = {}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
