@@ -457,8 +457,5 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8").alias("payload"),
     )
     marked = mark_revisits(chosen, "page_id", "payload", min_bytes)
-    folder = f"{work_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
-    folder = re.sub(r"^file:/+", "file:///", folder)
+    folder = re.sub(r"^file:/+", "file:///", f"{work_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
     return materialize(write_archives(marked, folder), "archives")

@@ -153,7 +153,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
+
+    Null and empty texts go, repeated rows are judged each, nulls in other columns
+    stay as they are; an empty table gives no rows.
+    """
     columns = docs.columns
     at, kept = columns.index(text_col), [f.split()[0] for f in MEASURES.split(", ")].index("kept")
 

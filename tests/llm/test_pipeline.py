@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -60,6 +62,27 @@ def test_stages_keep_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "packing"]
 
 
+def test_edges_from_end_to_end(spark):
+    """Nulls in every column, repeats, empty and very long texts, clashing names; and an empty table."""
+    words = [f"{a}{b}" for a in "abcdefghijkl" for b in ("an", "el", "or", "ith", "ume", "yst", "ack", "oft")]
+    prose = lambda k, n: " ".join(random.Random(k).choices(words, k=n))
+    long = " ".join(prose(k, 90) + f" tail {k * k}" for k in range(700))
+    rows = [(1, prose(1, 80), "s1"), (1, prose(1, 80), "s1"), (None, prose(5, 80), None), (None, prose(5, 80), "s2"), (4, None, "s"), (5, "", None), (6, "few words", "s"), (7, long, "s3"), (8, prose(11, 300), None)]
+    docs = spark.createDataFrame([(*r, r[1], "x", 3) for r in rows], "doc_id long, text string, source string, _a string, `0` string, size int")
+    judged, out = {(r.doc_id, r.n_words): r.kept for r in quality.quality(docs).collect()}, docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, SF)
+        assert out.dtypes == docs.dtypes
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = {(i, t) for i, t, _ in rows if t and judged[i, len(t.split())]}
+    assert kept == sorted(want, key=str) and len(kept) >= 3
+    pieces = corpus_pipeline.STAGES[-1][1](spark, out, SF).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(p.length for p in pieces) == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in kept)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_keep_one_edges(spark):
     base = " ".join(f"w{i}" for i in range(300))
     near = base.replace("w150", "other")
