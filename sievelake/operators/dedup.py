@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.operators.select import running_offsets
+
 
 def exact_dedup(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order``. ``row_number() <= 1`` lets Spark
@@ -42,3 +44,20 @@ def admission(rows: DataFrame, plan: DataFrame) -> DataFrame:
     first = marked.filter("early IS NULL").groupBy("split", "digest").agg(F.min("doc_id").alias("first"))
     marked = marked.join(first, ["split", "digest"], "left")
     return marked.withColumn("reason", F.coalesce("early", F.when(F.col("doc_id") != F.col("first"), "exact_duplicate"))).select("doc_id", "reason")
+
+
+def union_in_order(parts: list[DataFrame], orders: list[str]) -> DataFrame:
+    """All rows with ``source_ordinal`` and ``place``, their part and their place in it: the order of files written one after the other."""
+    placed = []
+    for ordinal, (part, order) in enumerate(zip(parts, orders, strict=True)):
+        numbered = running_offsets(part.withColumn("_order", F.col(order)), [], "_order", F.lit(1))
+        placed.append(numbered.withColumn("source_ordinal", F.lit(ordinal)).withColumnRenamed("start", "place").drop("_order"))
+    return union_all(placed)
+
+
+def deep_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``key``, ``path``, ``a``, ``b`` of the leaves (key, path, value) that only one side has or whose values differ; nulls equal nulls."""
+    a = left.select(key, "path", F.struct("value").alias("a"))
+    b = right.select(key, "path", F.struct("value").alias("b"))
+    joined = a.join(b, [key, "path"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+    return joined.select(key, "path", F.col("a.value").alias("a"), F.col("b.value").alias("b"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.operators.select import running_offsets
+
 
 def pass_at_k(results: DataFrame, task: str, correct: Column, k: int) -> DataFrame:
     """``pass_at_k`` (mean over tasks with at least k draws), ``n_tasks``, ``n_excluded``: unbiased, missing draws aren't failures."""
@@ -35,10 +37,11 @@ def cluster_bootstrap(clusters: DataFrame, key: str, value: str, weight: str, re
     """Mean and 95 % interval of sum(value) / sum(weight) over resampled clusters.
 
     Draws come from hashes: draw j of resample i takes the cluster of that number.
-    The clusters are numbered rows; each resample is a group of as many draws.
+    The clusters are numbered in order of a hash, part by part; each resample is a
+    group of as many draws.
     """
-    numbered = clusters.select(value, weight, (F.row_number().over(Window.orderBy(key)) - 1).alias("c"))
-    n = numbered.count()
+    numbered = running_offsets(clusters.select(value, weight, F.xxhash64(key).alias("_at")), [], "_at", F.lit(1)).select(value, weight, F.col("start").cast("int").alias("c"))
+    n = clusters.count()
     draws = clusters.sparkSession.range(resamples).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("j"))
     picked = draws.select("i", F.pmod(F.xxhash64(F.lit(seed), "i", "j"), F.lit(max(n, 1))).cast("int").alias("c")).join(numbered, "c")
     means = picked.groupBy("i").agg((F.sum(value) / F.sum(weight)).alias("m"))
@@ -66,10 +69,9 @@ def matrix_gaps(observed: DataFrame, axes: list[DataFrame]) -> DataFrame:
 
 
 def lower_percentiles(values: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """``share``, ``value``: the sample at place int((n - 1) * share), from a histogram."""
-    counts = values.groupBy(value).agg(F.count("*").alias("n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(w))
+    """``share``, ``value``: the sample at place int((n - 1) * share), from a histogram of numbers that is summed part by part."""
+    counts = values.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    ranked = running_offsets(counts, [], value, F.col("n")).withColumn("upto", F.col("start") + F.col("n"))
     total = counts.agg(F.sum("n").alias("total"))
     asked = values.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in shares])).alias("share")).crossJoin(total)
     hit = asked.join(ranked, F.col("upto") > F.floor((F.col("total") - 1) * F.col("share")))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.operators.select import running_offsets
+
 
 def transitions(rows: DataFrame, keys: list[str], order: list[str], state: str) -> DataFrame:
     """Rows with ``next`` and its place ``t``; the last of each key has none."""
@@ -162,3 +164,18 @@ def histogram_bin(value: Column, low: float, high: float, bins: int) -> Column:
 
 def log_natural_to_bits(x: Column) -> Column:
     return x / math.log(2)
+
+
+def token_records(dispatches: DataFrame, order: str, layers: int) -> DataFrame:
+    """``token``, ``experts`` (by layer) of a trace whose dispatches go through layers 0, 1, .. again and again; any other order raises."""
+    placed = running_offsets(dispatches, [], order, F.lit(1))
+    token, layer = regrouped(F.col("start"), layers)
+    strict = F.when(F.col("layer") == layer, F.col("layer")).otherwise(F.raise_error(F.lit("dispatches don't go through the layers in order")).cast("int"))
+    grouped = placed.select(token.alias("token"), F.struct(strict.alias("layer"), "experts").alias("x")).groupBy("token").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    whole = F.when(F.size("x") == layers, F.col("x")).otherwise(F.raise_error(F.lit("the last token lacks layers")).cast("array<struct<layer:int,experts:array<bigint>>>"))
+    return grouped.select("token", F.transform(whole, lambda e: e["experts"]).alias("experts"))
+
+
+def most_frequent(rows: DataFrame, item: str, n: int) -> DataFrame:
+    """The n items that occur most, ties to the smaller."""
+    return rows.groupBy(item).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(item)).limit(n)

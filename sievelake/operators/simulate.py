@@ -155,20 +155,31 @@ def lease_states(events: DataFrame, lease_seconds: float) -> DataFrame:
     """``task``, ``status``, ``owner``, ``n_leases`` after all events (task, at, kind, owner) in order of time.
 
     A lease holds for ``lease_seconds``; then the task is pending again. Only the
-    owner of a running lease completes a task. One task's events are one fold.
+    owner of a running lease completes a task. Events come sorted outside memory,
+    task by task, and one small state goes along.
     """
-    row = F.struct("at", "event", "kind", "owner")
-    start = F.struct(F.lit("pending").alias("status"), F.lit(None).cast("string").alias("owner"), F.lit(0.0).alias("until"), F.lit(0).alias("n_leases"))
-
-    def step(s, e):
-        free = (s["status"] == "pending") | ((s["status"] == "leased") & (s["until"] <= e["at"]))
-        leased = F.struct(F.lit("leased").alias("status"), e["owner"].alias("owner"), (e["at"] + lease_seconds).alias("until"), (s["n_leases"] + 1).alias("n_leases"))
-        finished = F.struct(F.lit("done").alias("status"), s["owner"].alias("owner"), s["until"].alias("until"), s["n_leases"].alias("n_leases"))
-        mine = (s["status"] == "leased") & (s["until"] > e["at"]) & (s["owner"] == e["owner"])
-        return F.when((e["kind"] == "lease") & free, leased).when((e["kind"] == "complete") & mine, finished).otherwise(s)
-
-    folded = events.groupBy("task").agg(F.sort_array(F.collect_list(row)).alias("e")).select("task", F.aggregate("e", start, step).alias("s"))
-    return folded.select("task", "s.status", "s.owner", "s.n_leases")
+    narrow = events.select(F.col("task").cast("string").alias("task"), F.col("at").cast("double").alias("at"), "event", "kind", "owner").filter("task IS NOT NULL")
+
+    def run(frames):
+        now, state, out = None, None, []
+        for frame in frames:
+            for task, at, kind, owner in zip(frame["task"], frame["at"], frame["kind"], frame["owner"]):
+                if task != now:
+                    if now is not None:
+                        out.append((now, *state[:2], state[3]))
+                    now, state = task, ("pending", None, 0.0, 0)
+                status, holder, until, n = state
+                if kind == "lease" and (status == "pending" or status == "leased" and until <= at):
+                    state = ("leased", owner, at + lease_seconds, n + 1)
+                elif kind == "complete" and status == "leased" and until > at and holder == owner:
+                    state = ("done", holder, until, n)
+            yield pd.DataFrame(out, columns=["task", "status", "owner", "n_leases"])
+            out = []
+        if now is not None:
+            yield pd.DataFrame([(now, *state[:2], state[3])], columns=["task", "status", "owner", "n_leases"])
+
+    kind = dict(events.dtypes)["task"]
+    return narrow.repartition("task").sortWithinPartitions("task", "at", "event").mapInPandas(run, "task string, status string, owner string, n_leases int").withColumn("task", F.col("task").cast(kind))
 
 
 def critic_cache(puts: DataFrame, key: str, order: str, result: str) -> DataFrame:

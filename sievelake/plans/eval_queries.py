@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import hashing, text
-from sievelake.operators import digests, evalstats, routing, simulate
+from sievelake.operators import dedup, digests, evalstats, routing, simulate
 from sievelake.plans.text_queries import LEXEMES
 from sievelake.registry import register
 from sievelake.session import table
@@ -483,3 +483,36 @@ def step_events(spark, d):
     views = rows.filter("event_type = 'view'").select("event_id", "user_id", "step", F.col("value").alias("view_value"))
     clicks = rows.filter("event_type = 'click'").select("user_id", "step", F.col("value").alias("click_value"))
     return views.join(clicks, ["user_id", "step"]).select("event_id", "view_value", "click_value")
+
+
+@register("most_frequent_items", "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3")
+def most_frequent_items(spark, d):
+    return routing.most_frequent(table(spark, d, "events"), "event_type", 3)
+
+
+@register("token_records", """
+WITH p AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, user_id FROM events QUALIFY i < (SELECT count(*) // 4 * 4 FROM events))
+SELECT i // 4 AS token, string_agg(user_id % 6 || '+' || (user_id + 1) % 6, ',' ORDER BY i) AS experts FROM p GROUP BY 1
+""")
+def token_records(spark, d):
+    """Tokens of a trace of four layers, from its dispatches in order."""
+    events = table(spark, d, "events").select("event_id", "user_id")
+    whole = events.count() // 4 * 4
+    first = F.row_number().over(Window.orderBy("event_id")) - 1
+    trace = events.withColumn("i", first).filter(F.col("i") < whole).select("event_id", (F.col("i") % 4).cast("int").alias("layer"), F.array(F.col("user_id") % 6, (F.col("user_id") + 1) % 6).alias("experts"))
+    made = routing.token_records(trace, "event_id", 4)
+    return made.select("token", F.array_join(F.transform("experts", lambda e: F.array_join(e.cast("array<string>"), "+")), ",").alias("experts"))
+
+
+@register("deep_differences", """
+WITH a AS (SELECT event_id, 'k' AS path, (props->>'$.k') AS value FROM events UNION ALL SELECT event_id, 'kind', event_type FROM events),
+b AS (SELECT event_id, 'k' AS path, CASE WHEN event_id % 10 = 0 THEN 'changed' ELSE (props->>'$.k') END AS value FROM events UNION ALL SELECT event_id, 'kind', event_type FROM events WHERE event_id % 15 > 0)
+SELECT event_id, path, a.value AS a, b.value AS b FROM a FULL JOIN b USING (event_id, path) WHERE a.event_id IS NULL OR b.event_id IS NULL OR a.value IS DISTINCT FROM b.value
+""")
+def deep_differences(spark, d):
+    """Leaves of records that differ or that one side lacks."""
+    events, n, k = table(spark, d, "events"), F.col("event_id"), F.get_json_object("props", "$.k")
+    leaves = lambda rows, value: rows.select("event_id", F.lit("k").alias("path"), value.alias("value"))
+    kinds = events.select("event_id", F.lit("kind").alias("path"), F.col("event_type").alias("value"))
+    changed = leaves(events, F.when(n % 10 == 0, "changed").otherwise(k)).union(kinds.filter(n % 15 > 0))
+    return dedup.deep_differences(leaves(events, k).union(kinds), changed, "event_id")
