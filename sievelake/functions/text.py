@@ -57,13 +57,23 @@ def shingles(tokens: Column, width: int, keep_short: bool = False) -> Column:
     return let(tokens, windows)
 
 
-def shingle_hashes(tokens: Column, width: int) -> Column:
-    """64-bit hashes of the distinct ``width``-token windows; fewer tokens give none. No window is put together as a text."""
+def window_hash(tokens: Column, start: Column | int, width: int) -> Column:
+    """64-bit hash of the ``width`` tokens from a 0-based place."""
+    return F.xxhash64(*[F.get(tokens, F.lit(start) + k if isinstance(start, int) else start + k) for k in range(width)])
+
+
+def shingle_hashes(tokens: Column, width: int, keep_short: bool = False) -> Column:
+    """64-bit hashes of the distinct ``width``-token windows; no window is put together as a text.
+
+    Fewer tokens than ``width`` give none, or with ``keep_short`` one hash of all tokens.
+    """
+    none = F.array().cast("array<long>")
 
     def windows(t: Column) -> Column:
         count = F.size(t)
-        every = F.transform(F.sequence(F.lit(1), F.greatest(count - width + 1, F.lit(1))), lambda i: F.xxhash64(*[F.get(t, i + k - 1) for k in range(width)]))
-        return F.when(count >= width, F.array_distinct(every)).otherwise(F.array().cast("array<long>"))
+        every = F.transform(F.sequence(F.lit(0), F.greatest(count - width, F.lit(0))), lambda i: window_hash(t, i, width))
+        short = F.array(F.xxhash64(t)) if keep_short else none
+        return F.when(count >= width, F.array_distinct(every)).when(count > 0, short).otherwise(none)
 
     return let(tokens, windows)
 

@@ -155,11 +155,10 @@ SELECT doc_id, n::BIGINT AS n_lexemes, five::BIGINT AS n_five, eight::BIGINT AS
 """)
 def shingle_counts(spark, d):
     """Distinct 5-token windows (none for shorter texts) and 8-word windows (one for shorter texts)."""
-    t = F.col("text")
-    return table(spark, d, "documents").select(
-        "doc_id", F.size(text.lexemes(t)).cast("long").alias("n_lexemes"), F.size(text.shingles(text.lexemes(t), 5)).cast("long").alias("n_five"),
-        F.size(text.shingles(text.ascii_words(t), 8, keep_short=True)).cast("long").alias("n_eight"),
-    )
+    five = text.let(text.lexemes(F.col("text")), lambda l: F.struct(F.size(l).cast("long").alias("n"), F.size(text.shingle_hashes(l, 5)).cast("long").alias("five")))
+    eight = F.size(text.shingle_hashes(text.ascii_words(F.col("text")), 8, keep_short=True)).cast("long")
+    rows = table(spark, d, "documents").select("doc_id", five.alias("f"), eight.alias("n_eight"))
+    return rows.select("doc_id", F.col("f.n").alias("n_lexemes"), F.col("f.five").alias("n_five"), "n_eight")
 
 
 @register("stable_ids", """
