@@ -11,6 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelake.functions.text import let
 from sievelake.llm.license_texts import known_texts
 
 #: Lines that state a copyright, after lower-casing.
@@ -49,9 +50,15 @@ def canonical(text: Column) -> Column:
     """
     lines = F.regexp_replace(F.regexp_replace(F.lower(text), "\r\n?", "\n"), COPYRIGHT_LINE, " ")
     words = F.btrim(F.regexp_replace(F.replace(lines, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", "  "))
-    out = F.concat(F.lit(" "), words, F.lit(" "))
+    return let(F.concat(F.lit(" "), words, F.lit(" ")), _respelt)
+
+
+def _respelt(padded: Column) -> Column:
+    """One search for any spelling decides whether the replacements, none of which would change the text otherwise, are made."""
+    out = padded
     for pattern, kept in WORDS:
         out = F.regexp_replace(out, f" {pattern} ", f" {kept} ")
+    out = F.when(F.rlike(padded, F.lit(" (?:" + "|".join(pattern.replace("(", "(?:") for pattern, _ in WORDS) + ") ")), out).otherwise(padded)
     for run, kept in RUNS:
         out = F.replace(out, F.lit(" " + run.replace(" ", "  ") + " "), F.lit(" " + kept.replace(" ", "  ") + " "))
     return F.replace(F.btrim(out), F.lit("  "), F.lit(" "))
