@@ -105,6 +105,26 @@ def verified_objects(objects: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.withColumn("content", F.when(F.sha2("content", 256) == F.col("key"), F.col("content")).otherwise(F.raise_error(F.lit("content differs from its digest")).cast("binary")))
 
 
+def verified_shards(files: DataFrame, manifest: DataFrame, schema: str) -> DataFrame:
+    """Records of JSON-lines shards (path, content) that a manifest (path, sha256, records) names. A shard that is missing, whose
+    digest differs or that holds another number of records aborts; blank lines are no records, a null content is a missing shard."""
+    joined = manifest.join(files, "path", "left")
+    lines = F.filter(F.split(F.decode("content", "utf-8"), "\n"), lambda x: F.trim(x) != "")
+    fault = F.when(F.col("content").isNull(), "is missing").when(F.sha2("content", 256) != F.col("sha256"), "has another digest").when(F.size(lines) != F.col("records"), "has another number of records")
+    checked = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("shard "), "path", F.lit(" "), fault)).cast("array<string>")).otherwise(lines)
+    rows = joined.select("path", F.explode(checked).alias("line"))
+    return rows.select("path", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("path", "r.*")
+
+
+def capped_traces(spark: SparkSession, path: str, most: int = 1_000_000) -> DataFrame:
+    """The first records of a routing trace in JSON lines (token, layers); an invalid one among them aborts."""
+    from sievelake.operators.training_records import trace_valid
+
+    rows = spark.read.schema("token long, layers map<string,array<long>>").json(path).limit(most)
+    valid = trace_valid(F.col("token"), F.col("layers"))
+    return rows.withColumn("token", F.when(valid, F.col("token")).otherwise(F.raise_error(F.lit("invalid routing record")).cast("long")))
+
+
 def byte_ranges(objects: DataFrame, ranges: DataFrame) -> DataFrame:
     """``ranges`` (key, byte_offset, byte_length) with the bytes they name."""
     return ranges.join(objects, "key").withColumn("part", F.substring(F.col("content"), (F.col("byte_offset") + 1).cast("int"), F.col("byte_length").cast("int"))).drop("content")
