@@ -10,6 +10,7 @@ from sievelake.operators import dedup
 from sievelake.registry import register
 from sievelake.session import table, work_dir
 from sievelake.sources import readers, writers
+from sievelake.streaming import streams
 
 
 def _folder(spark, name):
@@ -117,3 +118,39 @@ WITH u AS (SELECT 0 AS source_ordinal, doc_id AS id, row_number() OVER (ORDER BY
 def union_in_order(spark, d):
     """Two sources one after the other, with each row's place."""
     return dedup.union_in_order([table(spark, d, "documents").select(F.col("doc_id").alias("id")), table(spark, d, "benchmark").select(F.col("item_id").alias("id"))], ["id", "id"])
+
+
+def _segments(spark, d):
+    """Logs of documents, one for each source, whose last line is cut."""
+    path = _folder(spark, "segments")
+    docs = table(spark, d, "documents").select("source", "doc_id", F.to_json(F.struct("doc_id", "lang")).alias("line"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n")
+    docs.groupBy("source").agg(F.concat(whole, F.lit("\n"), F.lit('{"cut')).alias("value")).repartition(4, "source").write.option("lineSep", "\u0000").partitionBy("source").text(path)
+    return path
+
+
+@register("streaming_log", "SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1")
+def streaming_log(spark, d):
+    """Finished records of a stream of log segments."""
+    stream = streams.durable_records(streams.log_stream(spark, f"{_segments(spark, d)}/*", 8), "doc_id long, lang string")
+    return streams.drain(stream).groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@register("line_ingest", "SELECT doc_id, lang FROM documents WHERE doc_id % 40 < 25")
+def line_ingest(spark, d):
+    """Lines of each file up to the first that is too long: the 26th of forty."""
+    n = F.col("doc_id")
+    docs = table(spark, d, "documents").select(F.floor(n / 40).alias("path"), "doc_id", F.to_json(F.struct("doc_id", "lang", F.when(n % 40 == 25, F.repeat(F.lit("x"), 2000)).alias("pad"))).alias("line"))
+    body = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n"), F.lit("\n"))
+    lines = readers.ingested_lines(docs.groupBy("path").agg(body.alias("body")), 1000)
+    return lines.select(F.from_json("json", "doc_id long, lang string").alias("r")).select("r.*")
+
+
+@register("resumed_shards", """
+SELECT n AS first, 0::BIGINT AS again, total - n AS rest, total AS n_read FROM (SELECT count(*) FILTER (WHERE doc_id % 3 = 0) AS n, count(*) AS total FROM documents)
+""")
+def resumed_shards(spark, d):
+    """What three runs of a writer add: a part, the same part, everything."""
+    path, docs = _folder(spark, "resumed"), table(spark, d, "documents").select("doc_id", "lang")
+    added = [writers.resumed_shards(rows, path, "doc_id", 100) for rows in (docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 = 0"), docs)]
+    return spark.read.json(path).agg(*[F.lit(n).cast("long").alias(name) for name, n in zip(("first", "again", "rest"), added)], F.count_distinct("doc_id").alias("n_read"))

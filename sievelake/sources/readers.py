@@ -45,6 +45,16 @@ def durable_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
     return lines.select("path", "line", parsed.alias("r")).select("path", "line", "r.*"), parts.filter("pending != ''").select("path", "pending")
 
 
+def ingested_lines(files: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
+    """``path``, ``line``, ``json`` of the lines of files (path, body) up to the first that is longer than ``most_bytes`` or not
+    ended by a newline: what comes after either is not taken. Blank lines are skipped, null bodies have none."""
+    lines = F.split("body", "\n")
+    whole = F.slice(lines, F.lit(1), F.size(lines) - 1)
+    too_long = F.array_position(F.transform(whole, lambda x: F.octet_length(x) > most_bytes), True)
+    taken = F.when(too_long > 0, F.slice(whole, F.lit(1), (too_long - 1).cast("int"))).otherwise(whole)
+    return files.select("path", F.posexplode(taken).alias("line", "json")).filter(F.trim("json") != "")
+
+
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 

@@ -38,6 +38,22 @@ def record_shards(rows: DataFrame, path: str, most: int) -> None:
     rows.write.option("maxRecordsPerFile", most).mode("errorifexists").json(path)
 
 
+def resumed_shards(rows: DataFrame, path: str, key: str, most: int) -> int:
+    """Adds the rows whose key no finished shard of the folder holds, in further shards of ``most`` records at most; returns how
+    many. A run that broke off left whole shards or nothing, so the next one goes on where it ended."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(place) and files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")):
+        kind = dict(rows.dtypes)[key]
+        done = spark.read.schema(f"`{key}` {kind}").json(path).select(key).distinct()
+        rows = rows.join(done, key, "left_anti").select(*rows.columns)
+    n = rows.count()
+    if n:
+        rows.write.option("maxRecordsPerFile", most).mode("append").json(path)
+    return n
+
+
 def spill_partitions(rows: DataFrame, path: str, keys: list[str]) -> None:
     rows.write.partitionBy(*keys).mode("errorifexists").parquet(path)
 

@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sievelake.functions.hashing import sha256_hex
 from sievelake.functions.text import normalize
-from sievelake.session import shared_dir
+from sievelake.session import work_dir
+from sievelake.sources.readers import ingested_lines
 
 
 def folder_stream(spark: SparkSession, path: str, kind: str = "parquet", per_batch: int = 1) -> DataFrame:
@@ -56,6 +57,17 @@ def collapse_signals(stream: DataFrame, threshold: float, run: int) -> DataFrame
     return stream.groupBy("user_id").applyInPandasWithState(update, "user_id long, longest int, collapsed boolean", "now int, longest int", "update", GroupStateTimeout.NoTimeout)
 
 
+def log_stream(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
+    """``path``, ``body``: new segments of a log, each whole."""
+    read = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", per_batch).load(path)
+    return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+
+
+def durable_records(stream: DataFrame, schema: str) -> DataFrame:
+    """``path``, ``line`` and the records of finished lines; an unfinished last line is held back, a bad finished one aborts."""
+    return ingested_lines(stream, 1 << 30).select("path", "line", F.from_json("json", schema, {"mode": "FAILFAST"}).alias("r")).select("path", "line", "r.*")
+
+
 def lease_timers(stream: DataFrame, lease_seconds: float, late: str = "0 seconds") -> DataFrame:
     """``task``, ``status``, ``owner``, ``n_leases``, ``at`` after each change, from events (task, at timestamp, event, kind, owner).
 
@@ -108,7 +120,7 @@ def after_cursor(rows: DataFrame, order: str, cursor: int, n: int) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all that is there and read what it wrote (for ``update``: every update, with its batch)."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def write(batch: DataFrame, number: int) -> None:

@@ -122,3 +122,28 @@ def test_offsets_and_pairs(spark):
     assert got == {i: sum(j % 4 for j in range(i)) for i in range(50)}
     pairs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "i long, p string")
     assert sorted(r.i for r in records.complete_pairs(pairs, "p").collect()) == [1, 2, 4]
+
+
+def test_ingest_stops(spark):
+    files = spark.createDataFrame([("a", '{"x":1}\n\n{"x":2}\n{"x":3'), ("b", "ok\n" + "y" * 50 + "\nlater\n"), ("c", "no end"), ("d", ""), ("e", None), ("f", "z" * 50 + "\nq\n")], "path string, body string")
+    got = sorted((r.path, r.line, r.json) for r in readers.ingested_lines(files, 20).collect())
+    assert got == [("a", 0, '{"x":1}'), ("a", 2, '{"x":2}'), ("b", 0, "ok")]
+
+
+def test_resumed_shards(spark, tmp_path):
+    rows = spark.range(25).withColumnRenamed("id", "k")
+    path = str(tmp_path / "out")
+    assert [writers.resumed_shards(r, path, "k", 4) for r in (rows.filter("k < 10"), rows.filter("k < 10"), rows, rows.limit(0))] == [10, 0, 15, 0]
+    assert sorted(r.k for r in spark.read.json(path).collect()) == list(range(25))
+    assert max(len(p.read_text().splitlines()) for p in (tmp_path / "out").glob("part-*")) <= 4
+
+
+def test_streaming_log_holds_back_the_tail(spark, tmp_path):
+    from sievelake.streaming import streams
+
+    folder = tmp_path / "log"
+    folder.mkdir()
+    (folder / "1.jsonl").write_text('{"a": 1}\n{"a": 2}\n{"a": 3')
+    (folder / "2.jsonl").write_text('{"a": 4}\n')
+    made = streams.drain(streams.durable_records(streams.log_stream(spark, str(folder)), "a long"))
+    assert sorted(r.a for r in made.collect()) == [1, 2, 4]
