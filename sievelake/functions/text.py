@@ -17,6 +17,11 @@ SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 LEXEME = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE}]"
 ASCII_WORD = "[a-z0-9_]+"
 CODE_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_\s]"
+#: A phrase three times in a row, a fenced block, a line of code, and a user's folder.
+REPEATED_PHRASE = r"(?s)(.{8,}?)\1{2,}"
+FENCED = r"(?s)```(?:[A-Za-z0-9_+.-]+)?\s*\n(.*?)```"
+CODE_LINE = r"(?m)^\s*(?:def |class |from |import |return\b|print\(|for\b|if\b|while\b|[A-Za-z_]\w*\s*=)"
+HOME = r"(?i)(?<![A-Za-z0-9_./\\])(?:[A-Z]:[/\\]+Users[/\\]+[A-Za-z0-9][A-Za-z0-9_.@ -]*|/(?:home|Users)/[A-Za-z0-9][A-Za-z0-9_.@-]*)"
 
 
 def normalize(text: Column) -> Column:
@@ -103,16 +108,14 @@ def adjacent_repeat(tokens: Column, least: int = 3, most: int = 11) -> Column:
 
 def phrase_repeat(text: Column) -> Column:
     """A phrase of eight or more characters three times in a row."""
-    return text.rlike(r"(?s)(.{8,}?)\1{2,}")
+    return text.rlike(REPEATED_PHRASE)
 
 
 def extract_code(text: Column) -> Column:
     """struct(code, extraction): the first fenced block, else text that looks like code, else null."""
-    fenced = r"(?s)```(?:[A-Za-z0-9_+.-]+)?\s*\n(.*?)```"
-    plausible = r"(?m)^\s*(?:def |class |from |import |return\b|print\(|for\b|if\b|while\b|[A-Za-z_]\w*\s*=)"
     trim = lambda c: F.btrim(c, F.lit("\r\n"))
-    kind = F.when(text.rlike(fenced), "fenced").when(text.rlike(plausible), "raw").otherwise("no_code")
-    code = F.when(kind == "fenced", trim(F.regexp_extract(text, fenced, 1))).when(kind == "raw", trim(text))
+    kind = F.when(text.rlike(FENCED), "fenced").when(text.rlike(CODE_LINE), "raw").otherwise("no_code")
+    code = F.when(kind == "fenced", trim(F.regexp_extract(text, FENCED, 1))).when(kind == "raw", trim(text))
     return F.struct(code.alias("code"), kind.alias("extraction"))
 
 
@@ -125,5 +128,4 @@ def leaked_lines(patch: Column, description: Column, least: int = 24) -> Column:
 
 def redact_home(text: Column) -> Column:
     """User folders become ``~``."""
-    pattern = r"(?i)(?<![A-Za-z0-9_./\\])(?:[A-Z]:[/\\]+Users[/\\]+[A-Za-z0-9][A-Za-z0-9_.@ -]*|/(?:home|Users)/[A-Za-z0-9][A-Za-z0-9_.@-]*)"
-    return F.regexp_replace(text, pattern, "~")
+    return F.regexp_replace(text, HOME, "~")
