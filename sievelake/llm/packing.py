@@ -65,5 +65,10 @@ def pack(
     return bounded(chosen).mapInArrow(run, SCHEMA)
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Write the pieces so that each bucket, sequences of one length, is a folder of its own; fails if something is there."""
+    pieces.write.partitionBy("bucket").mode("errorifexists").parquet(path)
+
+
 NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]

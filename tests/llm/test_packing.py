@@ -75,3 +75,11 @@ def test_query_digest(spark):
         ids = library.encode(text[r.doc_id], add_special_tokens=False).ids + [0]
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
         assert r.doc_tokens == len(ids)
+
+
+def test_buckets_hold_one_length_each(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * i) for i in range(40)], "doc_id long, text string")
+    made, path = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")), str(tmp_path / "buckets")
+    packing.write_buckets(made, path)
+    read = spark.read.parquet(path)
+    assert read.count() == made.count() and {(r.bucket, r.length) for r in read.select("bucket", "length").distinct().collect()} == {(b, 1 << b) for b in range(6)}
