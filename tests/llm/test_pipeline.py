@@ -2,13 +2,12 @@ import random
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
-import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sievelake.llm import packing, quality, simhash
 from tests.llm.test_lines import brute as brute_lines
+from tests.llm.test_quality import verdict
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,8 +18,7 @@ def similar(a, b):
 
 def brute(rows):
     """(id, source, text) rows to kept (id, text), stage by stage, by plain pairwise comparison."""
-    verdicts = quality.measure(pa.array([t for _, _, t in rows], pa.string()), zstandard.ZstdCompressor(level=3))[-2].to_pylist()
-    rows = [r for r, kept in zip(rows, verdicts) if kept]
+    rows = [r for r in rows if verdict(r[2])]
     sources = {i: s for i, s, _ in rows}
     texts = sorted(brute_lines(rows, 10))
     grams = []

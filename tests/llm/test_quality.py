@@ -26,6 +26,24 @@ def brute(text):
     return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered), failed)
 
 
+def verdict(text):
+    """Whether a text stays, by the rules written out one after the other."""
+    raw = (text or "").encode()
+    if brute(text)[-1]:
+        return False
+    limits = [(256, 0.0, 2.5), (1024, 1.1, 3.0), (4096, 1.4, 3.5), (16384, 1.45, 4.0), (float("inf"), 1.45, 4.5)]
+
+    def fits(part):
+        low, high = next((a, b) for below, a, b in limits if len(part) < below)
+        return low <= len(part) / len(zstandard.compress(part, 3)) <= high
+
+    parts = [raw[i : i + 2048] for i in range(0, len(raw), 2048)]
+    if len(parts) > 1 and len(parts[-1]) < 1024:
+        parts[-2:] = [parts[-2] + parts[-1]]
+    odd = sum(len(p) for p in parts if not fits(p))
+    return fits(raw) and (len(parts) < 2 or 2 * odd <= len(raw))
+
+
 def texts():
     rng = random.Random(3)
     out = [None, "", " \n\t", "a", "a b c d e a b c d e", "x\nx\n x\nx", "é ß 漢 \x1c \x85 |<>", "w " * 5000]
@@ -63,6 +81,8 @@ def test_bands():
     loop = "".join(f"{near} {i} " for i in range(60))
     out = quality.measure(pa.array([prose(12), prose(100), prose(400), prose(3000), prose(40000), noise, loop, prose(200) + noise], pa.string()), PACKER)
     assert out[-2].to_pylist() == [True] * 5 + [False] * 3
+    mixed = [prose(n) for n in (11, 40, 70, 150, 300, 700, 2000, 9000)] + [prose(n) + "\n" + noise[: n * 4] for n in (60, 200, 500, 2000)] + ["ab cd " * 3 + prose(30), prose(330) + "zz " * 100]
+    assert quality.measure(pa.array(mixed, pa.string()), PACKER)[-2].to_pylist() == [verdict(t) for t in mixed]
     assert out[-1].to_pylist()[5:] == ["incompressible", "repeated windows", out[-1][7].as_py()]
 
 
@@ -74,7 +94,7 @@ def test_query_and_pass_through(spark):
     assert out.keys() == text.keys()
     for k, r in out.items():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(text[k])
-        assert not (r.base_failed and r.kept)
+        assert r.kept == verdict(text[k])
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in out.items() if r.kept}
     odd = spark.createDataFrame([(1, "kept", None), (None, "text", "b " * 30)], "kept long, `0` string, text string")
