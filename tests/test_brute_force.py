@@ -287,6 +287,18 @@ def test_prompt_prose_and_screen(spark):
     assert got == {(1, 1, "prompt"), (2, 1, "prompt"), (2, 2, "prompt"), (3, 2, "reference")}
 
 
+def test_a_large_reference_index_is_dealt(spark, monkeypatch):
+    """Broadcast or dealt to parts, the hits are the same; one passage lies in a third of the rows."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = spark.createDataFrame([(i, f"x{i} {passage if i % 3 == 0 else ''} " + " ".join(f"r{i % 5}w{k}" for k in range(12))) for i in range(90)], "k long, t string")
+    refs = spark.createDataFrame([(1, passage), (2, " ".join(f"r3w{k}" for k in range(12))), (3, "not there at all " * 4)], "r long, b string")
+    found = []
+    for small in (2_000_000, 0):
+        monkeypatch.setattr(overlap, "SMALL", small)
+        found.append(({tuple(r) for r in overlap.shingle_overlap(rows, "k", "t", refs, "r", "b").collect()}, {tuple(r) for r in overlap.phrase_containment(rows, "k", "t", refs, "r", "b").collect()}))
+    assert found[0] == found[1] and len(found[0][0]) == 30 + 18 and len(found[0][1]) == 30 + 18
+
+
 def test_field_retention(spark):
     facts = spark.createDataFrame([(1, "a", "x"), (1, "b", None), (1, "c", "z"), (2, "a", "q")], "k long, f string, v string")
     back = spark.createDataFrame([(1, "a", "x"), (1, "b", None), (1, "c", "Z"), (1, "extra", "e")], "k long, f string, v string")
