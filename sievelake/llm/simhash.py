@@ -39,6 +39,8 @@ TILE, SUB, BLOCK = 16384, 256, 65_025
 RADIUS_80 = 54
 #: Shingle hashes and sets of a tile of exact comparison; representatives of a group of similar texts that meet other tiles.
 SET_TILE, SETS_PER_TILE, REPRESENTATIVES = 1 << 20, 4096, 4
+#: Groups beyond a tile that are broadcast at most; with more they meet their texts in a shuffle.
+LARGE_GROUPS = 500_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -358,14 +360,15 @@ def verified_links(sets: DataFrame, least: float) -> DataFrame:
     weighed = sets.select("node", "group", F.size("set").cast("long").alias("size"))
     sums = lambda rows, *by: rows.groupBy(*by).agg(F.greatest(F.ceil(F.sum("size") / SET_TILE), F.ceil(F.count("*") / SETS_PER_TILE), F.lit(1)).cast("int").alias("tiles"))
     groups = materialize(sums(weighed, "group"), "groups")
-    # At most one group for each tile of all sets: the driver and the broadcasts hold that many rows.
     large = materialize(groups.filter("tiles > 1"), "large")
+    n_large = large.count()
+    few_rows = lambda table: F.broadcast(table) if n_large <= LARGE_GROUPS else table
     total = weighed.agg(F.sum("size").alias("s"), F.count("*").alias("n")).first()
     parts = max(1, -(-(total["s"] or 0) // (2 * SET_TILE)), -(-total["n"] // SETS_PER_TILE))
-    alone = sets.join(F.broadcast(large), "group", "left").withColumn("label", F.col("node"))
+    alone = sets.join(few_rows(large), "group", "left").withColumn("label", F.col("node"))
     tile = F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("group"), F.lit(parts))).otherwise(F.xxhash64("group", F.pmod(F.xxhash64("node"), F.col("tiles"))))
     found = materialize(_compare(alone, tile, least), "verified")
-    if not large.count():
+    if not n_large:
         return found
     dense = materialize(alone.filter("tiles IS NOT NULL").drop("label"), "dense")
 
@@ -378,14 +381,14 @@ def verified_links(sets: DataFrame, least: float) -> DataFrame:
     place = Window.partitionBy("group", "own", "label").orderBy(F.xxhash64(F.lit(2), "node"), "node")
     few = once.withColumn("own", own).select("node", "group", "own", "label", F.row_number().over(place).alias("k")).filter(F.col("k") <= REPRESENTATIVES)
     few = materialize(once.drop("tiles").join(few.select("node"), "node"), "representatives")
-    few = few.join(F.broadcast(sums(few.withColumn("size", F.size("set").cast("long")), "group")), "group")
+    few = few.join(few_rows(sums(few.withColumn("size", F.size("set").cast("long")), "group")), "group")
     more = _compare(few, F.xxhash64("group", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("tiles"))), least)
     found = materialize(found.unionByName(more), "verified")
     twice = labelled(found)
     main = twice.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    twice = twice.join(F.broadcast(main), "group").withColumn("outside", F.col("label") != F.col("main"))
+    twice = twice.join(few_rows(main), "group").withColumn("outside", F.col("label") != F.col("main"))
     outside = materialize(sums(twice.filter("outside").withColumn("size", F.size("set").cast("long")), "group").withColumnRenamed("tiles", "rest"), "outside")
-    twice = twice.join(F.broadcast(outside), "group")
+    twice = twice.join(few_rows(outside), "group")
     tile_of = lambda n: F.pmod(F.xxhash64(F.lit(4), "node"), F.col(n)).cast("int")
     # Tiles of the texts outside are numbered 0 .., all others -1, -2 ...
     among = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda j: F.struct(F.least(j, tile_of("rest")).alias("lo"), F.greatest(j, tile_of("rest")).alias("hi")))

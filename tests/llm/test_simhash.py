@@ -127,12 +127,13 @@ def dense_group(rng, texts, words=400):
     return out
 
 
-@pytest.mark.parametrize("tile", [None, 4000])
-def test_dense_groups_lose_no_link(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "broadcast"), [(None, 1), (4000, 1), (4000, 0)])
+def test_dense_groups_lose_no_link(spark, monkeypatch, tile, broadcast):
     """Groups of 120 texts whose similarities lie around 0.8; with small tiles each is dealt to a dozen of them."""
     if tile:
         monkeypatch.setattr(simhash, "SET_TILE", tile)
         monkeypatch.setattr(simhash, "REPRESENTATIVES", 1)
+        monkeypatch.setattr(simhash, "LARGE_GROUPS", broadcast * 100)
     rng = np.random.default_rng(5)
     texts = [t for _ in range(3) for t in dense_group(rng, 120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
