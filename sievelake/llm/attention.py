@@ -122,83 +122,134 @@ def unflatten(flat: np.ndarray, entries: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _scatter(index: np.ndarray, entries: int, *rows: np.ndarray) -> list[np.ndarray]:
-    """Sums of the rows with each index, for some arrays of rows."""
+def _table(params: dict) -> np.ndarray:
+    """Queries, keys, values and residuals of each entry, side by side."""
+    return np.concatenate([params[k] for k in "qkvr"], axis=1)
+
+
+def _scatter(index: np.ndarray, entries: int, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows with each index."""
     order = np.argsort(index.astype(np.int16), kind="stable")
     index = index[order]
     first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    out = []
-    for part in rows:
-        sums = np.zeros((entries, WIDTH), part.dtype)
-        sums[index[first]] = np.add.reduceat(part.reshape(-1, WIDTH)[order], first, axis=0)
-        out.append(sums)
-    return out
+    sums = np.zeros((entries, rows.shape[1]), rows.dtype)
+    # Two neighbours at a time: a complex number's parts are added apart.
+    pair = np.result_type(rows.dtype, np.complex64)
+    sums.view(pair)[index[first]] = np.add.reduceat(rows[order].view(pair), first, axis=0)
+    return sums
 
 
-def gradients(params: dict, prior: Prior, windows: np.ndarray, spots: np.ndarray) -> tuple[float, dict, int]:
-    """Summed loss of the class layer, its gradients and the number of targets, for windows of WINDOW + 1 entries (-1 is none).
-    All entries but the last are what is looked back at; each one at ``spots`` predicts its next."""
-    entries, scale = len(params["q"]), F32(1 / np.sqrt(WIDTH))
-    x, y = windows[:, :-1], windows[:, 1:][:, spots]
-    there, known, size = x >= 0, np.maximum(x, 0), len(windows)
-    mine = known[:, spots]
+def _room(spare: dict, name: str, shape: tuple, dtype) -> np.ndarray:
+    """An array that calls with the same shape share."""
+    if name not in spare or spare[name].shape != shape:
+        spare[name] = np.empty(shape, dtype)
+    return spare[name]
+
+
+def _backward(table: np.ndarray, c: np.ndarray, d: np.ndarray, prior: Prior, windows: np.ndarray, spots: np.ndarray, spare: dict, moved: np.ndarray):
+    """Summed loss, gradients of the class layer and of the biases, and the number of targets. ``moved`` gets those of the
+    entries that are looked back at, one row of the table for each."""
+    scale, size, n, every, kind = F32(1 / np.sqrt(WIDTH)), len(windows), len(spots), len(spots) == WINDOW, table.dtype
+    at = slice(None) if every else spots
+    x, y = windows[:, :-1], windows[:, 1:][:, at].ravel()
+    there, known = x >= 0, np.maximum(x, 0)
     distance = spots[:, None] - np.arange(WINDOW)
     reach = np.maximum(distance, 0)
-    q, k, v = params["q"].take(mine, axis=0), params["k"].take(known, axis=0), params["v"].take(known, axis=0)
-    p = np.matmul(q, k.transpose(0, 2, 1))
-    p *= scale
-    p += np.where(distance >= 0, params["d"][reach], F32(-1e9))
+    rows = np.take(table, known, axis=0, out=_room(spare, "rows", (size, WINDOW, 4 * WIDTH), kind), mode="clip")
+    own = rows[:, at]
+    q, k, v, r = own[..., :WIDTH] * scale, rows[..., WIDTH : 2 * WIDTH], rows[..., 2 * WIDTH : 3 * WIDTH], own[..., 3 * WIDTH :]
+    p = np.matmul(q, k.transpose(0, 2, 1), out=_room(spare, "p", (size, n, WINDOW), kind))
+    p += np.where(distance >= 0, d[reach], F32(-1e9))
     np.exp(np.minimum(p, F32(60), out=p), out=p)
-    if not there.all():
-        p *= there[:, None, :]
-    p /= np.maximum(p.sum(axis=2, keepdims=True), F32(1e-30))
+    part = np.flatnonzero(~there.all(axis=1))
+    p[part] *= there[part][:, None, :]
+    p /= np.maximum(p @ np.ones(WINDOW, kind), F32(1e-30))[:, :, None]
     o = np.matmul(p, v)
-    h = (params["r"].take(mine, axis=0) + o).reshape(-1, WIDTH)
-    z = h @ params["c"]
-    z += prior.class_log.take(mine.ravel(), axis=0)
+    h = (r + o).reshape(-1, WIDTH)
+    z = np.matmul(h, c, out=_room(spare, "z", (size * n, CLASSES), kind))
+    z += np.take(prior.class_log, known[:, at].ravel(), axis=0, out=_room(spare, "logs", (size * n, CLASSES), prior.class_log.dtype), mode="clip")
     np.exp(np.minimum(z, F32(80), out=z), out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    use, rows = y.ravel() >= 0, np.arange(y.size)
-    target = prior.classes[np.maximum(y.ravel(), 0)]
-    loss = -float(np.log(z[rows, target][use]).sum())
-    z[rows, target] -= 1
-    if not use.all():
-        z *= use[:, None]
-    dh = z @ params["c"].T
-    out = {"c": h.T @ z}
-    dh = dh.reshape(size, len(spots), WIDTH)
-    ds = np.matmul(dh, v.transpose(0, 2, 1))
-    ds -= (dh * o).sum(axis=2, keepdims=True)
+    z /= (z @ np.ones(CLASSES, kind))[:, None]
+    use, places = y >= 0, np.arange(len(y))
+    target = prior.classes[np.maximum(y, 0)]
+    loss = -float(np.log(z[places, target][use]).sum())
+    z[places, target] -= 1
+    z[~use] = 0
+    dh = (z @ c.T).reshape(size, n, WIDTH)
+    ds = np.matmul(dh, v.transpose(0, 2, 1), out=_room(spare, "ds", (size, n, WINDOW), kind))
+    ds -= np.einsum("ijk,ijk->ij", dh, o)[:, :, None]
     ds *= p
-    out["d"] = np.bincount(reach.ravel(), ds.sum(axis=0).ravel(), minlength=WINDOW).astype(F32)
-    ds *= scale
-    out["q"], out["r"] = _scatter(mine.ravel(), entries, np.matmul(ds, k), dh)
-    out["k"], out["v"] = _scatter(known.ravel(), entries, np.matmul(ds.transpose(0, 2, 1), q), np.matmul(p.transpose(0, 2, 1), dh))
-    return loss, out, int(use.sum())
+    biases = np.bincount(reach.ravel(), ds.sum(axis=0).ravel(), minlength=WINDOW).astype(F32)
+    if not every:
+        moved[:] = 0
+    moved[:, at, :WIDTH] = np.matmul(ds, k) * scale
+    moved[..., WIDTH : 2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
+    moved[..., 2 * WIDTH : 3 * WIDTH] = np.matmul(p.transpose(0, 2, 1), dh)
+    moved[:, at, 3 * WIDTH :] = dh
+    return loss, h.T @ z, biases, int(use.sum())
+
+
+def gradients(params: dict, prior: Prior, windows: np.ndarray, spots: np.ndarray) -> tuple[float, dict, int]:
+    """Summed loss of the class layer, its gradients and the number of targets, for windows of WINDOW + 1 entries (-1 is none).
+    All entries but the last are what is looked back at; each one at ``spots`` predicts its next."""
+    table = _table(params)
+    moved = np.empty((len(windows), WINDOW, table.shape[1]), table.dtype)
+    loss, c, d, n = _backward(table, params["c"], params["d"], prior, windows, spots, {}, moved)
+    sums = _scatter(np.maximum(windows[:, :-1], 0).ravel(), len(table), moved.reshape(-1, table.shape[1]))
+    return loss, {k: sums[:, i * WIDTH : (i + 1) * WIDTH] for i, k in enumerate("qkvr")} | {"c": c, "d": d}, n
+
+
+class _Adam:
+    """Adam over one array, in place, a part that stays in the cache at a time."""
+
+    def __init__(self, values: np.ndarray, part: int = 16_384):
+        self.values, self.mean, self.square = values, np.zeros_like(values), np.zeros_like(values)
+        self.part, self.spare = part, np.empty(part, values.dtype)
+
+    def step(self, grads: np.ndarray, step: int, pace: float) -> None:
+        """Overwrites ``grads``."""
+        pace, unbias = F32(pace / (1 - 0.9**step)), F32(1 / (1 - 0.99**step))
+        for low in range(0, len(grads), self.part):
+            here = slice(low, low + self.part)
+            g, mean, square = grads[here], self.mean[here], self.square[here]
+            t = self.spare[: len(g)]
+            np.subtract(g, mean, out=t)
+            t *= F32(0.1)
+            mean += t
+            g *= g
+            g -= square
+            g *= F32(0.01)
+            square += g
+            np.multiply(square, unbias, out=t)
+            np.sqrt(t, out=t)
+            t += F32(1e-8)
+            np.divide(mean, t, out=t)
+            t *= pace
+            self.values[here] -= t
 
 
 def train(params: dict, prior: Prior, windows: np.ndarray, rate: float = 0.01, batch: int = 128, least: int = 160, seed: int = 0) -> dict:
     """Adam over the windows in a seeded order, once, or as often as makes ``least`` steps, with a rising and falling rate.
-    Every second place of a window is a target, even and odd ones by turns."""
-    params = {k: v.copy() for k, v in params.items()}
-    mean, square = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-    rng = np.random.default_rng(seed)
+    Every place of a window that an entry follows is a target."""
+    entries, spots = len(params["q"]), np.arange(WINDOW)
+    flat = np.concatenate([_table(params).ravel(), params["c"].ravel(), params["d"]])
+    cuts = np.cumsum([entries * 4 * WIDTH, params["c"].size])
+    parts = lambda x: np.split(x, cuts)
+    table, c, d = parts(flat)
+    table, c = table.reshape(entries, -1), c.reshape(WIDTH, -1)
+    adam, rng, spare = _Adam(flat), np.random.default_rng(seed), {}
     steps = max(-(-len(windows) // batch), least)
     order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * batch // len(windows)))])
     for step in range(1, steps + 1):
-        rows, total, count = order[(step - 1) * batch : step * batch], {}, 0
-        for at in range(0, len(rows), CHUNK):
-            _, grads, n = gradients(params, prior, windows[rows[at : at + CHUNK]].astype(np.int64), np.arange(step % 2, WINDOW, 2))
-            count += n
-            for k, g in grads.items():
-                total[k] = total[k] + g if k in total else g
-        pace = rate * min(1.0, step / 20) * max(0.1, 1 - step / (steps + 1))
-        for k, g in total.items():
-            g *= F32(1 / max(count, 1))
-            mean[k] += F32(0.1) * (g - mean[k])
-            square[k] += F32(0.01) * (g * g - square[k])
-            params[k] -= (F32(pace / (1 - 0.9**step)) * mean[k] / (np.sqrt(square[k] / F32(1 - 0.99**step)) + F32(1e-8))).astype(F32)
-    return params
+        chosen = windows[order[(step - 1) * batch : step * batch]].astype(np.int64)
+        moved = _room(spare, "moved", (len(chosen), WINDOW, 4 * WIDTH), F32)
+        cut = [slice(at, at + CHUNK) for at in range(0, len(chosen), CHUNK)]
+        _, dc, dd, count = zip(*(_backward(table, c, d, prior, chosen[at], spots, spare, moved[at]) for at in cut))
+        index = np.maximum(chosen[:, :-1], 0).ravel()
+        grads = np.concatenate([_scatter(index, entries, moved.reshape(-1, 4 * WIDTH)).ravel(), sum(dc).ravel(), sum(dd)])
+        grads *= F32(1 / max(sum(count), 1))
+        adam.step(grads, step, rate * min(1.0, step / 20) * max(0.1, 1 - step / (steps + 1)))
+    return {k: table[:, i * WIDTH : (i + 1) * WIDTH].copy() for i, k in enumerate("qkvr")} | {"c": c.copy(), "d": d.copy()}
 
 
 class Scorer:

@@ -55,6 +55,15 @@ def test_gradients_against_differences():
             assert abs((up - down) / (2 * step) - grads[name][at]) < 1e-2, name
 
 
+def test_every_position_of_a_window_is_a_target():
+    """One step over one window of different entries moves the residuals of all that another entry follows."""
+    prior, before = random_prior(), random_params(5)
+    window = np.random.default_rng(5).permutation(40)[: attention.WINDOW + 1].astype(np.int16)
+    after = attention.train(before, prior, window[None], batch=1, least=1)
+    moved = np.flatnonzero((after["r"] != before["r"]).any(axis=1))
+    assert moved.tolist() == sorted(window[:-1].tolist())
+
+
 def random_params(seed):
     rng = np.random.default_rng(seed)
     return {k: (rng.normal(size=v.shape) * 0.4).astype(np.float32) for k, v in attention.initial(40).items()}
