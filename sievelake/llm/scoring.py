@@ -70,14 +70,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def spelled(encoder: ByteBpe, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Subword ids of words, each after a space, and where each word's ids begin (words + 1)."""
+    """Subword ids of distinct words, each after a space, and where each word's ids begin (words + 1)."""
     data, offsets = byte_view(words)
     data = np.insert(data, offsets[:-1], 0x20)
     bounds = offsets + np.arange(len(offsets))
     chunks = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-    slot = encoder.slots_of(chunks)
-    lengths = encoder.lengths[slot]
-    return encoder.ids[gather(encoder.starts[slot], lengths)], np.concatenate([[0], np.cumsum(lengths)])
+    ids, lengths = encoder.fresh(chunks)
+    return ids, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+class Frequent(NamedTuple):
+    """Words that all workers know, their counts in training texts, their subword ids and where each word's ids begin."""
+
+    words: pa.Array
+    n_train: np.ndarray
+    ids: np.ndarray
+    bounds: np.ndarray
+
+    def spelled(self, encoder: ByteBpe, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Subword ids, where those of each of the distinct words begin in them and how many it has, and its place here (-1: none).
+        Only words that aren't here are encoded."""
+        place = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        ids, bounds = spelled(encoder, words.take(pa.array(new)))
+        starts, sizes = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
+        starts[new], sizes[new] = len(self.ids) + bounds[:-1], np.diff(bounds)
+        return np.concatenate([self.ids, ids]), starts, sizes, place
+
+
+NONE = Frequent(pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
 
 def subword_counts(words: DataFrame, path: str) -> DataFrame:
@@ -129,7 +150,23 @@ def fit_prior(counts: DataFrame, train_texts: int, vocabulary: int, begins_word:
 
 
 def training_windows(docs: DataFrame, path: str, prior, every: int) -> DataFrame:
-    """``w`` (WINDOW + 1 16-bit entries, -1 is none) of windows that cover all chosen units of all training texts, each id once,
+    """``window_bytes`` with the entries as an array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = pa.FixedSizeListArray.from_arrays(pa.array(_entries(batch.column(0)).ravel()), WINDOW + 1)
+            yield pa.RecordBatch.from_arrays([w.cast(pa.list_(pa.int16())), batch.column(1)], names=["w", "row"])
+
+    return window_bytes(docs, path, prior, every).mapInArrow(run, "w array<short>, row long")
+
+
+def _entries(column: pa.Array) -> np.ndarray:
+    """Windows (rows of WINDOW + 1 entries) from their bytes."""
+    return byte_view(column)[0].view(np.int16).reshape(-1, WINDOW + 1)
+
+
+def window_bytes(docs: DataFrame, path: str, prior, every: int, frequent=None) -> DataFrame:
+    """``w`` (the bytes of WINDOW + 1 16-bit entries, -1 is none) of windows that cover all chosen units of all training texts, each id once,
     and ``row``: a number of their own, so that windows of equal texts are dealt to different groups.
 
     A unit is a run of UNIT words, ends of texts among them; a hash of the row and the unit's place choose one in ``every``.
@@ -139,6 +176,7 @@ def training_windows(docs: DataFrame, path: str, prior, every: int) -> DataFrame
         from pyspark import TaskContext
 
         encoder, model, base = byte_bpe(path), prior.value, TaskContext.get().partitionId() << 36
+        known = frequent.value if frequent else NONE
         for batch in slices(batches, "text", SLICE):
             data, offsets = byte_view(batch.column(0))
             first, last, bounds = word_spans(data, offsets)
@@ -152,16 +190,16 @@ def training_windows(docs: DataFrame, path: str, prior, every: int) -> DataFrame
             if not len(text):
                 continue
             coded = byte_runs(lower_ascii(data), first[chosen], last[chosen]).dictionary_encode()
-            ids, spans = spelled(encoder, coded.dictionary) if len(chosen) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+            ids, starts, sizes, _ = known.spelled(encoder, coded.dictionary)
             entries = np.append(model.entry[ids], model.end_entry)
-            starts, sizes = np.append(spans[:-1], len(ids)), np.append(np.diff(spans), 1)
-            at = np.full(len(text), len(spans) - 1, np.int64)
+            starts, sizes = np.append(starts, len(ids)), np.append(sizes, 1)
+            at = np.full(len(text), len(starts) - 1, np.int64)
             at[~is_end] = coded.indices.to_numpy()
             # Each text's first unit is led by an end.
             opens = place == 0
             runs = np.repeat(at, 1 + opens)
             lead = np.cumsum(1 + opens) - 1 - opens
-            runs[lead[opens]] = len(spans) - 1
+            runs[lead[opens]] = len(starts) - 1
             line = entries[gather(starts[runs], sizes[runs])]
             begins = np.cumsum(sizes[runs]) - sizes[runs]
             head = opens | np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)])
@@ -173,18 +211,20 @@ def training_windows(docs: DataFrame, path: str, prior, every: int) -> DataFrame
             w = np.where(spot < np.repeat(high, n)[:, None], line[np.minimum(spot, len(line) - 1)], -1).astype(np.int16)
             rows = base + np.arange(len(w))
             base += len(w)
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(w.ravel()), WINDOW + 1).cast(pa.list_(pa.int16())), pa.array(rows)], names=["w", "row"])
+            packed = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(np.arange(len(w) + 1, dtype=np.int32) * (2 * WINDOW + 2)), pa.py_buffer(w)])
+            yield pa.RecordBatch.from_arrays([packed, pa.array(rows)], names=["w", "row"])
 
     chosen = docs.filter("not held_out").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h"))
-    return bounded(chosen).mapInArrow(run, "w array<short>, row long")
+    return bounded(chosen).mapInArrow(run, "w binary, row long")
 
 
 def _trainer(start, prior, turn: int, part: int):
     """Trains a copy of the broadcast parameters on a group of windows; returns it in blocks."""
 
     def run(group: pa.Table) -> pa.Table:
-        windows = np.asarray(group.column("w").combine_chunks().flatten()).reshape(len(group), -1)
-        order = np.lexsort(windows.T)
+        windows = _entries(group.column("w"))
+        # Four entries at a time: any order will do that doesn't hang on how the windows arrive.
+        order = np.lexsort([*np.ascontiguousarray(windows[:, :WINDOW]).view(np.int64).T, windows[:, WINDOW]])
         params = attention.unflatten(start.value, ACTIVE)
         trained = attention.flatten(attention.train(params, prior.value, windows[order], rate=0.01 / (1 + turn), seed=turn))
         cuts = np.append(np.arange(0, len(trained), part), len(trained)).astype(np.int32)
@@ -214,7 +254,7 @@ def train_model(windows: DataFrame, prior, rounds: int = ROUNDS) -> dict[str, np
     return attention.unflatten(flat, ACTIVE)
 
 
-def frequent_words(words: DataFrame) -> pa.Table:
+def frequent_words(words: DataFrame, encoder: ByteBpe) -> Frequent:
     """The words whose counts over all texts reach the level that FREQUENT words reach, by eighths of powers of two, and
     longer ones with over HOT occurrences: their bytes are at most those of the corpus divided by HOT."""
     short = words.filter(F.octet_length("word") <= FREQUENT_BYTES)
@@ -227,7 +267,9 @@ def frequent_words(words: DataFrame) -> pa.Table:
         total, least = total + n, at
     brief = F.octet_length("word") <= FREQUENT_BYTES
     chosen = words.filter((brief & (F.lit(False) if least is None else level >= least)) | (~brief & (F.col("n_all") > HOT)))
-    return chosen.select("word", "n_train").toArrow()
+    found = chosen.select("word", "n_train").toArrow().combine_chunks()
+    listed = pa.chunked_array(found.column("word").chunks, pa.binary()).combine_chunks().cast(pa.large_binary())
+    return Frequent(listed, found.column("n_train").to_numpy().astype(np.int64), *spelled(encoder, listed))
 
 
 SCORED = "part int, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word binary, log_p double"
@@ -243,9 +285,8 @@ def score_texts(docs: DataFrame, path: str, prior, params, frequent, train_texts
 
         encoder, model = byte_bpe(path), prior.value
         scorer, base = Scorer(model, params.value), TaskContext.get().partitionId() << 36
-        listed = frequent.value.column("word").combine_chunks().cast(pa.large_binary())
         # Counts of the frequent words, then of the end, then of the words that are joined later.
-        counts = np.concatenate([frequent.value.column("n_train").to_numpy(), [train_texts, 0]]).astype(np.float64)
+        counts = np.concatenate([frequent.value.n_train, [train_texts, 0]]).astype(np.float64)
         logs, shares, end = np.log10(counts + 1), counts * share_of, len(counts) - 2
         for batch in slices(batches, "text", SCORED_SLICE):
             coded, bounds, _ = _words(batch.column(1))
@@ -254,15 +295,14 @@ def score_texts(docs: DataFrame, path: str, prior, params, frequent, train_texts
             text = np.repeat(np.arange(rows), lengths + 1)
             is_end = np.zeros(len(text), bool)
             is_end[np.cumsum(lengths + 1) - 1] = True
-            place = pc.index_in(coded.dictionary, value_set=listed).fill_null(-1).to_numpy().astype(np.int64)
+            ids, starts, spans, place = frequent.value.spelled(encoder, coded.dictionary)
             kind = np.full(len(text), end, np.int64)
             kind[~is_end] = place[index]
-            ids, spans = spelled(encoder, coded.dictionary) if len(index) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
             sizes = np.ones(len(text), np.int64)
-            sizes[~is_end] = np.diff(spans)[index]
+            sizes[~is_end] = spans[index]
             begins = np.cumsum(sizes) - sizes
             line = np.full(int(sizes.sum()), model.end, np.int64)
-            line[np.repeat(~is_end, sizes)] = ids[gather(spans[:-1][index], sizes[~is_end])]
+            line[np.repeat(~is_end, sizes)] = ids[gather(starts[index], sizes[~is_end])]
             edges = np.append(begins[np.cumsum(lengths + 1) - lengths - 1], len(line))
             log_p = scorer.word_logs(line, edges, begins) if len(text) else np.zeros(0)
             rare = kind < 0
@@ -288,7 +328,7 @@ NAMES = [f.split()[0] for f in SCORED.split(", ")]
 
 
 class Model(NamedTuple):
-    """``words`` (word, n_all, n_train) and totals of the training texts, and the broadcast count model and parameters."""
+    """``words`` (word, n_all, n_train) and totals of the training texts, and the broadcast count model, parameters and frequent words."""
 
     words: DataFrame
     train_texts: int
@@ -296,6 +336,7 @@ class Model(NamedTuple):
     kinds: int
     prior: Any
     params: Any
+    frequent: Any
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -311,8 +352,9 @@ def fit(chosen: DataFrame, tokenizer_path: str, every: int = EVERY) -> Model:
     encoder = byte_bpe(tokenizer_path)
     counts = materialize(subword_counts(words, tokenizer_path), "subwords")
     prior = context.broadcast(fit_prior(counts, texts, encoder.size, encoder.begins_word))
-    windows = materialize(training_windows(chosen, tokenizer_path, prior, every), "windows")
-    return Model(words, texts, totals["n"] + texts, totals["v"] + (texts > 0), prior, context.broadcast(train_model(windows, prior)))
+    frequent = context.broadcast(frequent_words(words, encoder))
+    windows = materialize(window_bytes(chosen, tokenizer_path, prior, every, frequent), "windows")
+    return Model(words, texts, totals["n"] + texts, totals["v"] + (texts > 0), prior, context.broadcast(train_model(windows, prior)), frequent)
 
 
 def language_model_scores(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY) -> DataFrame:
@@ -332,8 +374,7 @@ def language_model_scores(docs: DataFrame, tokenizer_path: str, id_col: str = "d
 def score_with(model: Model, chosen: DataFrame, tokenizer_path: str) -> DataFrame:
     """Scores of rows (doc_id, text, held_out), the same that ``model.words`` counts."""
     words, train_tokens = model.words, model.train_tokens
-    frequent = chosen.sparkSession.sparkContext.broadcast(frequent_words(words))
-    scored = materialize(score_texts(chosen, tokenizer_path, model.prior, model.params, frequent, model.train_texts, train_tokens), "scored")
+    scored = materialize(score_texts(chosen, tokenizer_path, model.prior, model.params, model.frequent, model.train_texts, train_tokens), "scored")
     # Words that occur very often were met in score_texts, so no word is large here.
     rare = scored.filter("part = 1").select("row", "word", "log_p").join(words.select("word", "n_train"), "word")
     mixed = F.log10(F.exp("log_p") * 0.5 + F.col("n_train") * (0.5 / max(train_tokens, 1)) + F.lit(1e-300))

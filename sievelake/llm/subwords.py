@@ -111,6 +111,10 @@ class ByteBpe:
             self.slots.update(zip([listed[i] for i in new.tolist()], range(base, base + len(new))))
         return slot
 
+    def fresh(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, one after the other, and how many each has; none is kept."""
+        return self._encode_chunks(chunks) if len(chunks) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
     def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, one after the other, and how many each has.
 
