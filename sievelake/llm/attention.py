@@ -122,21 +122,27 @@ def unflatten(flat: np.ndarray, entries: int) -> dict[str, np.ndarray]:
     return out
 
 
+#: The order of the parameters in a row of the table.
+_ROW = "qkrv"
+
+
 def _table(params: dict) -> np.ndarray:
-    """Queries, keys, values and residuals of each entry, side by side."""
-    return np.concatenate([params[k] for k in "qkvr"], axis=1)
+    """Queries, keys, residuals and values of each entry, side by side, and a last row of zeros for places without an entry."""
+    table = np.concatenate([params[k] for k in _ROW], axis=1)
+    return np.concatenate([table, np.zeros_like(table[:1])])
 
 
-def _scatter(index: np.ndarray, entries: int, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows with each index."""
+def _scatter(index: np.ndarray, rows: np.ndarray, sums: np.ndarray, spare: dict) -> None:
+    """Puts the sums of the rows with each index into ``sums``; those of its last row are left out."""
     order = np.argsort(index.astype(np.int16), kind="stable")
     index = index[order]
     first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    sums = np.zeros((entries, rows.shape[1]), rows.dtype)
+    sums[:] = 0
     # Two neighbours at a time: a complex number's parts are added apart.
     pair = np.result_type(rows.dtype, np.complex64)
-    sums.view(pair)[index[first]] = np.add.reduceat(rows[order].view(pair), first, axis=0)
-    return sums
+    dealt = np.take(rows.view(pair), order, axis=0, out=_room(spare, "dealt", (len(rows), rows.shape[1] // 2), pair), mode="clip")
+    sums.view(pair)[index[first]] = np.add.reduceat(dealt, first, axis=0)
+    sums[-1] = 0
 
 
 def _room(spare: dict, name: str, shape: tuple, dtype) -> np.ndarray:
@@ -146,84 +152,105 @@ def _room(spare: dict, name: str, shape: tuple, dtype) -> np.ndarray:
     return spare[name]
 
 
-def _backward(table: np.ndarray, c: np.ndarray, d: np.ndarray, prior: Prior, windows: np.ndarray, spots: np.ndarray, spare: dict, moved: np.ndarray):
-    """Summed loss, gradients of the class layer and of the biases, and the number of targets. ``moved`` gets those of the
-    entries that are looked back at, one row of the table for each."""
-    scale, size, n, every, kind = F32(1 / np.sqrt(WIDTH)), len(windows), len(spots), len(spots) == WINDOW, table.dtype
-    at = slice(None) if every else spots
+class _Known:
+    """What a count model gives for entries and, in a last row, for places without one."""
+
+    def __init__(self, prior: Prior):
+        self.class_log = np.concatenate([prior.class_log, np.zeros((1, CLASSES), prior.class_log.dtype)])
+        self.classes = np.append(prior.classes, 0)
+
+
+def _looked_up(table: np.ndarray, spare: dict) -> np.ndarray:
+    """The table with scaled queries and a column of ones, so that one product gives sums of values and of weights; its last row is zero."""
+    out = _room(spare, "table", (len(table), 4 * WIDTH + 1), table.dtype)
+    out[:, : 4 * WIDTH] = table
+    out[:, :WIDTH] *= F32(1 / np.sqrt(WIDTH))
+    out[:, 4 * WIDTH] = 1
+    out[-1] = 0
+    return out
+
+
+def _backward(looked: np.ndarray, c: np.ndarray, d: np.ndarray, known: _Known, windows: np.ndarray, spots: np.ndarray, share: float, spare: dict, moved: np.ndarray):
+    """Gradients of the class layer and of the biases, and the probabilities of the targets. ``moved`` gets those of the
+    entries that are looked back at, one row of the table for each, before the queries' scale. Entries that are missing are
+    the last of the rows. Each target counts ``share``."""
+    size, n, kind = len(windows), len(spots), looked.dtype
+    at = slice(None) if n == WINDOW else spots
     x, y = windows[:, :-1], windows[:, 1:][:, at].ravel()
-    there, known = x >= 0, np.maximum(x, 0)
     distance = spots[:, None] - np.arange(WINDOW)
     reach = np.maximum(distance, 0)
-    rows = np.take(table, known, axis=0, out=_room(spare, "rows", (size, WINDOW, 4 * WIDTH), kind), mode="clip")
+    rows = np.take(looked, x, axis=0, out=_room(spare, "rows", (size, WINDOW, 4 * WIDTH + 1), kind), mode="clip")
     own = rows[:, at]
-    q, k, v, r = own[..., :WIDTH] * scale, rows[..., WIDTH : 2 * WIDTH], rows[..., 2 * WIDTH : 3 * WIDTH], own[..., 3 * WIDTH :]
+    q, k, r, v = own[..., :WIDTH], rows[..., WIDTH : 2 * WIDTH], own[..., 2 * WIDTH : 3 * WIDTH], rows[..., 3 * WIDTH :]
+    # Softmaxes aren't divided by their sums: what they are multiplied with is, as it is narrower.
     p = np.matmul(q, k.transpose(0, 2, 1), out=_room(spare, "p", (size, n, WINDOW), kind))
     p += np.where(distance >= 0, d[reach], F32(-1e9))
     np.exp(np.minimum(p, F32(60), out=p), out=p)
-    part = np.flatnonzero(~there.all(axis=1))
-    p[part] *= there[part][:, None, :]
-    p /= np.maximum(p @ np.ones(WINDOW, kind), F32(1e-30))[:, :, None]
-    o = np.matmul(p, v)
-    h = (r + o).reshape(-1, WIDTH)
+    o = np.matmul(p, v, out=_room(spare, "o", (size, n, WIDTH + 1), kind))
+    part = 1 / np.maximum(o[..., WIDTH:], F32(1e-30))
+    o = np.multiply(o[..., :WIDTH], part, out=_room(spare, "mean", (size, n, WIDTH), kind))
+    h = np.add(r, o, out=_room(spare, "h", (size, n, WIDTH), kind)).reshape(-1, WIDTH)
     z = np.matmul(h, c, out=_room(spare, "z", (size * n, CLASSES), kind))
-    z += np.take(prior.class_log, known[:, at].ravel(), axis=0, out=_room(spare, "logs", (size * n, CLASSES), prior.class_log.dtype), mode="clip")
+    z += np.take(known.class_log, x[:, at].ravel(), axis=0, out=_room(spare, "logs", (size * n, CLASSES), known.class_log.dtype), mode="clip")
     np.exp(np.minimum(z, F32(80), out=z), out=z)
-    z /= (z @ np.ones(CLASSES, kind))[:, None]
-    use, places = y >= 0, np.arange(len(y))
-    target = prior.classes[np.maximum(y, 0)]
-    loss = -float(np.log(z[places, target][use]).sum())
-    z[places, target] -= 1
-    z[~use] = 0
+    sums = z @ np.ones(CLASSES, kind)
+    target = np.arange(0, z.size, CLASSES) + known.classes.take(y)
+    right = z.ravel().take(target)
+    z.ravel()[target] = right - sums
+    weight = (F32(share) * (y < len(looked) - 1) / sums)[:, None]
     dh = (z @ c.T).reshape(size, n, WIDTH)
-    ds = np.matmul(dh, v.transpose(0, 2, 1), out=_room(spare, "ds", (size, n, WINDOW), kind))
-    ds -= np.einsum("ijk,ijk->ij", dh, o)[:, :, None]
+    dh *= weight.reshape(size, n, 1)
+    g = _room(spare, "g", (size, n, WIDTH + 1), kind)
+    np.multiply(dh, part, out=g[..., :WIDTH])
+    np.negative(np.einsum("ijk,ijk->ij", g[..., :WIDTH], o), out=g[..., WIDTH])
+    ds = np.matmul(g, v.transpose(0, 2, 1), out=_room(spare, "ds", (size, n, WINDOW), kind))
     ds *= p
     biases = np.bincount(reach.ravel(), ds.sum(axis=0).ravel(), minlength=WINDOW).astype(F32)
-    if not every:
+    if n < WINDOW:
         moved[:] = 0
-    moved[:, at, :WIDTH] = np.matmul(ds, k) * scale
-    moved[..., WIDTH : 2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
-    moved[..., 2 * WIDTH : 3 * WIDTH] = np.matmul(p.transpose(0, 2, 1), dh)
-    moved[:, at, 3 * WIDTH :] = dh
-    return loss, h.T @ z, biases, int(use.sum())
+    moved[:, at, :WIDTH] = np.matmul(ds, k)
+    np.matmul(ds.transpose(0, 2, 1), q, out=moved[..., WIDTH : 2 * WIDTH])
+    moved[:, at, 2 * WIDTH : 3 * WIDTH] = dh
+    np.matmul(p.transpose(0, 2, 1), g[..., :WIDTH], out=moved[..., 3 * WIDTH :])
+    h *= weight
+    return h.T @ z, biases, right / sums
 
 
 def gradients(params: dict, prior: Prior, windows: np.ndarray, spots: np.ndarray) -> tuple[float, dict, int]:
     """Summed loss of the class layer, its gradients and the number of targets, for windows of WINDOW + 1 entries (-1 is none).
     All entries but the last are what is looked back at; each one at ``spots`` predicts its next."""
     table = _table(params)
-    moved = np.empty((len(windows), WINDOW, table.shape[1]), table.dtype)
-    loss, c, d, n = _backward(table, params["c"], params["d"], prior, windows, spots, {}, moved)
-    sums = _scatter(np.maximum(windows[:, :-1], 0).ravel(), len(table), moved.reshape(-1, table.shape[1]))
-    return loss, {k: sums[:, i * WIDTH : (i + 1) * WIDTH] for i, k in enumerate("qkvr")} | {"c": c, "d": d}, n
+    windows = np.where(windows < 0, len(table) - 1, windows)
+    moved, sums, use = np.empty((len(windows), WINDOW, table.shape[1]), table.dtype), np.empty_like(table), windows[:, 1:][:, spots].ravel() < len(table) - 1
+    c, d, right = _backward(_looked_up(table, {}), params["c"], params["d"], _Known(prior), windows, spots, 1.0, {}, moved)
+    _scatter(windows[:, :-1].ravel(), moved.reshape(-1, table.shape[1]), sums, {})
+    sums[:, :WIDTH] *= F32(1 / np.sqrt(WIDTH))
+    return -float(np.log(right[use]).sum()), {k: sums[:-1, i * WIDTH : (i + 1) * WIDTH] for i, k in enumerate(_ROW)} | {"c": c, "d": d}, int(use.sum())
 
 
 class _Adam:
-    """Adam over one array, in place, a part that stays in the cache at a time."""
+    """Adam over one array, in place, a part that stays in the cache at a time. Both moments are sums, not means."""
 
     def __init__(self, values: np.ndarray, part: int = 16_384):
-        self.values, self.mean, self.square = values, np.zeros_like(values), np.zeros_like(values)
+        self.values, self.first, self.second = values, np.zeros_like(values), np.zeros_like(values)
         self.part, self.spare = part, np.empty(part, values.dtype)
 
     def step(self, grads: np.ndarray, step: int, pace: float) -> None:
         """Overwrites ``grads``."""
-        pace, unbias = F32(pace / (1 - 0.9**step)), F32(1 / (1 - 0.99**step))
+        root = np.sqrt(0.01 / (1 - 0.99**step))
+        pace, least = F32(pace * 0.1 / (1 - 0.9**step) / root), F32(1e-8 / root)
         for low in range(0, len(grads), self.part):
             here = slice(low, low + self.part)
-            g, mean, square = grads[here], self.mean[here], self.square[here]
+            g, first, second = grads[here], self.first[here], self.second[here]
             t = self.spare[: len(g)]
-            np.subtract(g, mean, out=t)
-            t *= F32(0.1)
-            mean += t
+            first *= F32(0.9)
+            first += g
+            second *= F32(0.99)
             g *= g
-            g -= square
-            g *= F32(0.01)
-            square += g
-            np.multiply(square, unbias, out=t)
-            np.sqrt(t, out=t)
-            t += F32(1e-8)
-            np.divide(mean, t, out=t)
+            second += g
+            np.sqrt(second, out=t)
+            t += least
+            np.divide(first, t, out=t)
             t *= pace
             self.values[here] -= t
 
@@ -231,25 +258,29 @@ class _Adam:
 def train(params: dict, prior: Prior, windows: np.ndarray, rate: float = 0.01, batch: int = 128, least: int = 160, seed: int = 0) -> dict:
     """Adam over the windows in a seeded order, once, or as often as makes ``least`` steps, with a rising and falling rate.
     Every place of a window that an entry follows is a target."""
-    entries, spots = len(params["q"]), np.arange(WINDOW)
+    entries, spots, known = len(params["q"]), np.arange(WINDOW), _Known(prior)
     flat = np.concatenate([_table(params).ravel(), params["c"].ravel(), params["d"]])
-    cuts = np.cumsum([entries * 4 * WIDTH, params["c"].size])
-    parts = lambda x: np.split(x, cuts)
-    table, c, d = parts(flat)
-    table, c = table.reshape(entries, -1), c.reshape(WIDTH, -1)
+    grads, cuts = np.empty_like(flat), np.cumsum([(entries + 1) * 4 * WIDTH, params["c"].size])
+    (table, c, d), (sums, dc, dd) = np.split(flat, cuts), np.split(grads, cuts)
+    table, sums, c, dc = table.reshape(entries + 1, -1), sums.reshape(entries + 1, -1), c.reshape(WIDTH, -1), dc.reshape(WIDTH, -1)
     adam, rng, spare = _Adam(flat), np.random.default_rng(seed), {}
+    windows = np.where(windows < 0, np.int16(entries), windows)
     steps = max(-(-len(windows) // batch), least)
     order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * batch // len(windows)))])
     for step in range(1, steps + 1):
         chosen = windows[order[(step - 1) * batch : step * batch]].astype(np.int64)
         moved = _room(spare, "moved", (len(chosen), WINDOW, 4 * WIDTH), F32)
-        cut = [slice(at, at + CHUNK) for at in range(0, len(chosen), CHUNK)]
-        _, dc, dd, count = zip(*(_backward(table, c, d, prior, chosen[at], spots, spare, moved[at]) for at in cut))
-        index = np.maximum(chosen[:, :-1], 0).ravel()
-        grads = np.concatenate([_scatter(index, entries, moved.reshape(-1, 4 * WIDTH)).ravel(), sum(dc).ravel(), sum(dd)])
-        grads *= F32(1 / max(sum(count), 1))
+        looked, share = _looked_up(table, spare), 1 / max(np.count_nonzero(chosen[:, 1:] < entries), 1)
+        dc[:], dd[:] = 0, 0
+        for low in range(0, len(chosen), CHUNK):
+            at = slice(low, low + CHUNK)
+            layer, biases, _ = _backward(looked, c, d, known, chosen[at], spots, share, spare, moved[at])
+            dc += layer
+            dd += biases
+        _scatter(chosen[:, :-1].ravel(), moved.reshape(-1, 4 * WIDTH), sums, spare)
+        sums[:, :WIDTH] *= F32(1 / np.sqrt(WIDTH))
         adam.step(grads, step, rate * min(1.0, step / 20) * max(0.1, 1 - step / (steps + 1)))
-    return {k: table[:, i * WIDTH : (i + 1) * WIDTH].copy() for i, k in enumerate("qkvr")} | {"c": c.copy(), "d": d.copy()}
+    return {k: table[:-1, i * WIDTH : (i + 1) * WIDTH].copy() for i, k in enumerate(_ROW)} | {"c": c.copy(), "d": d.copy()}
 
 
 class Scorer:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sievelake.llm import attention
 from sievelake.llm.attention import ACTIVE, WINDOW, Prior, Scorer
-from sievelake.llm.batches import bounded, byte_view, gather, slices
+from sievelake.llm.batches import bounded, byte_view, gather, joined, slices
 from sievelake.llm.subwords import ByteBpe, byte_bpe
 from sievelake.llm.words import byte_runs, lower_ascii, word_array, word_spans
 from sievelake.session import materialize
@@ -33,10 +33,17 @@ FREQUENT, FREQUENT_BYTES = 131_072, 32
 #: Words of a unit; one in so many units trains, whatever the size of the corpus (1: all of them); windows of a group
 #: that trains a copy; rounds of averaging, each over its own part of the windows.
 UNIT, EVERY, GROUP, ROUNDS = 128, 1, 25_000, 2
+#: Neighbouring windows that are dealt together; copies whose parameters are added up at a time, and parameters of a block.
+DEALT, ADDED, PART = 64, 64, 4096
 #: Occurrences from which a longer word is sent to all workers too.
 HOT = 20_000
-#: Bytes of text handled at a time when words are counted, and when texts are scored.
+#: Bytes of text handled at a time when windows are cut, and when texts are scored.
 SLICE, SCORED_SLICE = 4 << 20, 2 << 20
+#: Bytes of text whose words are counted together before they are shuffled.
+COUNTED = 12 << 20
+#: Occurrences of words that aren't frequent, on average, in a bucket in which they meet their counts, and texts in one in
+#: which what they add is summed.
+BUCKET, TEXTS = 500_000, 20_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -56,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``word``, ``n_all``, ``n_train`` over all rows of (doc_id, text, held_out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(joined(batches, COUNTED), "text", COUNTED):
             coded, bounds, _ = _words(batch.column(1))
             n, index = len(coded.dictionary), coded.indices.to_numpy()
             learns = ~np.asarray(batch.column(2))
@@ -80,12 +87,14 @@ def spelled(encoder: ByteBpe, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Frequent(NamedTuple):
-    """Words that all workers know, their counts in training texts, their subword ids and where each word's ids begin."""
+    """Words that all workers know, their counts in training texts, their subword ids and where each word's ids begin,
+    and how often they occur in all texts together."""
 
     words: pa.Array
     n_train: np.ndarray
     ids: np.ndarray
     bounds: np.ndarray
+    n_all: int
 
     def spelled(self, encoder: ByteBpe, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Subword ids, where those of each of the distinct words begin in them and how many it has, and its place here (-1: none).
@@ -98,7 +107,7 @@ class Frequent(NamedTuple):
         return np.concatenate([self.ids, ids]), starts, sizes, place
 
 
-NONE = Frequent(pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+NONE = Frequent(pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(1, np.int64), 0)
 
 
 def subword_counts(words: DataFrame, path: str) -> DataFrame:
@@ -150,12 +159,13 @@ def fit_prior(counts: DataFrame, train_texts: int, vocabulary: int, begins_word:
 
 
 def training_windows(docs: DataFrame, path: str, prior, every: int) -> DataFrame:
-    """``window_bytes`` with the entries as an array."""
+    """A row for each window of ``window_bytes``, with the entries as an array, and the row it is dealt with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = pa.FixedSizeListArray.from_arrays(pa.array(_entries(batch.column(0)).ravel()), WINDOW + 1)
-            yield pa.RecordBatch.from_arrays([w.cast(pa.list_(pa.int16())), batch.column(1)], names=["w", "row"])
+            rows = np.repeat(batch.column(1).to_numpy(), batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([w.cast(pa.list_(pa.int16())), pa.array(rows)], names=["w", "row"])
 
     return window_bytes(docs, path, prior, every).mapInArrow(run, "w array<short>, row long")
 
@@ -166,8 +176,8 @@ def _entries(column: pa.Array) -> np.ndarray:
 
 
 def window_bytes(docs: DataFrame, path: str, prior, every: int, frequent=None) -> DataFrame:
-    """``w`` (the bytes of WINDOW + 1 16-bit entries, -1 is none) of windows that cover all chosen units of all training texts, each id once,
-    and ``row``: a number of their own, so that windows of equal texts are dealt to different groups.
+    """Windows of WINDOW + 1 16-bit entries (-1 is none) that cover all chosen units of all training texts, each id once: ``w``, the bytes
+    of up to DEALT neighbouring ones, their number ``n``, and ``row``: a number of their own, so that equal texts are dealt to different groups.
 
     A unit is a run of UNIT words, ends of texts among them; a hash of the row and the unit's place choose one in ``every``.
     """
@@ -189,7 +199,8 @@ def window_bytes(docs: DataFrame, path: str, prior, every: int, frequent=None) -
             text, place, is_end = text[kept], place[kept], is_end[kept]
             if not len(text):
                 continue
-            coded = byte_runs(lower_ascii(data), first[chosen], last[chosen]).dictionary_encode()
+            cut = word_array if len(chosen) == len(first) else byte_runs
+            coded = cut(lower_ascii(data), first[chosen], last[chosen]).dictionary_encode()
             ids, starts, sizes, _ = known.spelled(encoder, coded.dictionary)
             entries = np.append(model.entry[ids], model.end_entry)
             starts, sizes = np.append(starts, len(ids)), np.append(sizes, 1)
@@ -200,40 +211,56 @@ def window_bytes(docs: DataFrame, path: str, prior, every: int, frequent=None) -
             runs = np.repeat(at, 1 + opens)
             lead = np.cumsum(1 + opens) - 1 - opens
             runs[lead[opens]] = len(starts) - 1
-            line = entries[gather(starts[runs], sizes[runs])]
+            line = entries.astype(np.int16)[gather(starts[runs], sizes[runs])]
             begins = np.cumsum(sizes[runs]) - sizes[runs]
             head = opens | np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)])
             low = begins[lead[head]]
             high = np.append(low[1:], len(line))
             n = -(-(high - low - 1) // WINDOW)
-            start = np.repeat(low, n) + WINDOW * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-            spot = start[:, None] + np.arange(WINDOW + 1)
-            w = np.where(spot < np.repeat(high, n)[:, None], line[np.minimum(spot, len(line) - 1)], -1).astype(np.int16)
-            rows = base + np.arange(len(w))
-            base += len(w)
-            packed = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(np.arange(len(w) + 1, dtype=np.int32) * (2 * WINDOW + 2)), pa.py_buffer(w)])
-            yield pa.RecordBatch.from_arrays([packed, pa.array(rows)], names=["w", "row"])
+            begun = np.cumsum(n) - n
+            # Each run's first entry is looked back at only; a window's is the last target of the one before it.
+            targets = np.full((int(n.sum()), WINDOW), -1, np.int16)
+            flat = targets.ravel()
+            for to, i, j in zip((begun * WINDOW).tolist(), (low + 1).tolist(), high.tolist()):
+                flat[to : to + j - i] = line[i:j]
+            w = np.empty((len(targets), WINDOW + 1), np.int16)
+            w[:, 1:] = targets
+            w[1:, 0] = targets[:-1, -1]
+            w[begun[n > 0], 0] = line[low[n > 0]]
+            cuts = np.append(np.arange(0, len(w), DEALT), len(w))
+            rows = base + np.arange(len(cuts) - 1)
+            base += len(rows)
+            packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((cuts * (2 * WINDOW + 2)).astype(np.int32)), pa.py_buffer(w)])
+            yield pa.RecordBatch.from_arrays([packed, pa.array(rows), pa.array(np.diff(cuts))], names=["w", "row", "n"])
 
     chosen = docs.filter("not held_out").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h"))
-    return bounded(chosen).mapInArrow(run, "w binary, row long")
+    return bounded(chosen).mapInArrow(run, "w binary, row long, n long")
 
 
-def _trainer(start, prior, turn: int, part: int):
+def _trainer(start, prior, turn: int):
     """Trains a copy of the broadcast parameters on a group of windows; returns it in blocks."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(key: tuple, group: pa.Table) -> pa.Table:
         windows = _entries(group.column("w"))
         # Four entries at a time: any order will do that doesn't hang on how the windows arrive.
         order = np.lexsort([*np.ascontiguousarray(windows[:, :WINDOW]).view(np.int64).T, windows[:, WINDOW]])
         params = attention.unflatten(start.value, ACTIVE)
         trained = attention.flatten(attention.train(params, prior.value, windows[order], rate=0.01 / (1 + turn), seed=turn))
-        cuts = np.append(np.arange(0, len(trained), part), len(trained)).astype(np.int32)
+        cuts = np.append(np.arange(0, len(trained), PART), len(trained)).astype(np.int32)
         blocks = pa.ListArray.from_arrays(pa.array(cuts), pa.array(trained.astype(np.float32)))
-        return pa.table({"block": pa.array(range(len(blocks)), pa.int32()), "weight": pa.array([len(windows)] * len(blocks), pa.int64()), "values": blocks})
+        bundle, weight = key[0].as_py() // ADDED, len(windows)
+        return pa.table({"bundle": pa.array([bundle] * len(blocks), pa.int32()), "block": pa.array(range(len(blocks)), pa.int32()), "weight": pa.array([weight] * len(blocks), pa.int64()), "values": blocks})
 
     return run
 
 
+def _added(group: pa.Table) -> pa.Table:
+    """The weighted sum of a block's parameters over up to ADDED copies."""
+    values, weight = group.column("values").combine_chunks(), group.column("weight").to_numpy()
+    total = weight.astype(np.float64) @ values.flatten().to_numpy().reshape(len(weight), -1)
+    return pa.table({"block": group.column("block")[:1], "weight": pa.array([int(weight.sum())], pa.int64()), "total": pa.array([total], pa.list_(pa.float64()))})
+
+
 def train_model(windows: DataFrame, prior, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Average of copies trained on groups of windows, round by round; a round takes its own share of the windows, so all train
     once. The number of groups follows the number of windows; the parameters are averaged in Spark, so the driver gets one set
@@ -241,15 +268,16 @@ def train_model(windows: DataFrame, prior, rounds: int = ROUNDS) -> dict[str, np
     spark = windows.sparkSession
     flat = attention.flatten(attention.initial(ACTIVE))
     dealt = windows.withColumn("turn", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(rounds)))
-    sizes, part = {r["turn"]: r["n"] for r in dealt.groupBy("turn").agg(F.count("*").alias("n")).collect()}, 4096
+    sizes = {r["turn"]: r["n"] for r in dealt.groupBy("turn").agg(F.sum("n").alias("n")).collect()}
     for turn in sorted(sizes):
-        trainer = _trainer(spark.sparkContext.broadcast(flat), prior, turn, part)
+        trainer = _trainer(spark.sparkContext.broadcast(flat), prior, turn)
         group = F.pmod(F.xxhash64("row"), F.lit(-(-sizes[turn] // GROUP))).cast("int")
-        copies = dealt.filter(F.col("turn") == turn).select(group.alias("g"), "w").groupBy("g").applyInArrow(trainer, "block int, weight long, values array<float>")
-        each = copies.select("block", "weight", F.posexplode("values").alias("pos", "value"))
-        mean = each.groupBy("block", "pos").agg((F.sum(F.col("value").cast("double") * F.col("weight")) / F.sum("weight")).alias("value")).toArrow()
+        copies = dealt.filter(F.col("turn") == turn).select(group.alias("g"), "w").groupBy("g").applyInArrow(trainer, "bundle int, block int, weight long, values array<float>")
+        sums = copies.groupBy("bundle", "block").applyInArrow(_added, "block int, weight long, total array<double>")
+        each = sums.select("block", "weight", F.posexplode("total").alias("pos", "value"))
+        mean = each.groupBy("block", "pos").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
         flat = np.zeros(len(flat))
-        flat[mean.column("block").to_numpy().astype(np.int64) * part + mean.column("pos").to_numpy()] = mean.column("value").to_numpy()
+        flat[mean.column("block").to_numpy().astype(np.int64) * PART + mean.column("pos").to_numpy()] = mean.column("value").to_numpy()
         flat = flat.astype(np.float32)
     return attention.unflatten(flat, ACTIVE)
 
@@ -267,17 +295,45 @@ def frequent_words(words: DataFrame, encoder: ByteBpe) -> Frequent:
         total, least = total + n, at
     brief = F.octet_length("word") <= FREQUENT_BYTES
     chosen = words.filter((brief & (F.lit(False) if least is None else level >= least)) | (~brief & (F.col("n_all") > HOT)))
-    found = chosen.select("word", "n_train").toArrow().combine_chunks()
+    found = chosen.select("word", "n_train", "n_all").toArrow().combine_chunks()
     listed = pa.chunked_array(found.column("word").chunks, pa.binary()).combine_chunks().cast(pa.large_binary())
-    return Frequent(listed, found.column("n_train").to_numpy().astype(np.int64), *spelled(encoder, listed))
+    return Frequent(listed, found.column("n_train").to_numpy().astype(np.int64), *spelled(encoder, listed), int(found.column("n_all").to_numpy().sum()))
+
+
+SCORED = "part int, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words binary, sizes binary, rows binary, logs binary"
+_POWERS = np.random.default_rng(0).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
 
+def bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
+    """The bucket in which each word meets its counts."""
+    data, offsets = byte_view(words)
+    if not len(data):
+        return np.zeros(len(words), np.int64)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    sums = np.add.reduceat((data + np.uint64(1)) * _POWERS[place % 64], offsets[:-1])
+    return (sums >> np.uint64(32)).astype(np.int64) % buckets
+
+
+def _packed(words: pa.Array, bucket: np.ndarray, *values: np.ndarray) -> tuple[list[int], list[pa.Array]]:
+    """The buckets that occur, and for each the bytes of its words, of their sizes (32 bits) and of each of the values."""
+    order = np.argsort(bucket, kind="stable")
+    data, offsets = byte_view(words.take(pa.array(order)))
+    at = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    cuts = list(zip(at[:-1].tolist(), at[1:].tolist()))
+    arrays = [np.diff(offsets).astype(np.int32), *(v[order] for v in values)]
+    columns = [[data[offsets[i] : offsets[j]].tobytes() for i, j in cuts]] + [[x[i:j].tobytes() for i, j in cuts] for x in arrays]
+    return bucket[order][at[:-1]].tolist(), [pa.array(c, pa.binary()) for c in columns]
 
-SCORED = "part int, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word binary, log_p double"
 
+def _unpacked(words: pa.ChunkedArray, sizes: pa.ChunkedArray) -> pa.Array:
+    """The words that ``_packed`` put together."""
+    offsets = np.concatenate([[0], np.cumsum(byte_view(sizes)[0].view(np.int32), dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(byte_view(words)[0]))])
 
-def score_texts(docs: DataFrame, path: str, prior, params, frequent, train_texts: int, train_tokens: int) -> DataFrame:
-    """Rows of texts (``part`` 0: sums over frequent words and the end) and of each other word in them (``part`` 1:
-    the attention model's natural logarithm)."""
+
+def score_texts(docs: DataFrame, path: str, prior, params, frequent, buckets: int, train_texts: int, train_tokens: int) -> DataFrame:
+    """Rows of texts (``part`` 0: sums over frequent words and the end) and of all other words of some texts (``part``: one
+    more than their bucket), each with its text's row and the attention model's natural logarithm."""
     share_of = 1.0 / max(train_tokens, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +369,15 @@ def score_texts(docs: DataFrame, path: str, prior, params, frequent, train_texts
             known = add(counts[kind] > 0).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(rows, np.int32)), pa.array(key), batch.column(0), batch.column(2), pa.array(lengths.astype(np.int64) + 1), pa.array(known),
-                 pa.array(add(logs[kind])), pa.array(add(mixed)), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.float64())], names=NAMES
+                 pa.array(add(logs[kind])), pa.array(add(mixed)), *(pa.nulls(rows, pa.binary()) for _ in range(4))], names=NAMES
             )
             if rare.any():
-                size = int(rare.sum())
-                words = coded.dictionary.take(pa.array(index[rare[~is_end]])).cast(pa.binary())
-                empty = [pa.nulls(size, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(key[text[rare]]), *empty, words, pa.array(log_p[rare])], names=NAMES)
+                at = index[rare[~is_end]]
+                used, of = np.unique(at, return_inverse=True)
+                bucket = bucket_of(coded.dictionary.take(pa.array(used)), buckets)[of]
+                found, packed = _packed(coded.dictionary.take(pa.array(at)), bucket, key[text[rare]], log_p[rare])
+                empty = [pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array([k + 1 for k in found], pa.int32()), *empty, *packed], names=NAMES)
 
     return bounded(docs).mapInArrow(run, SCORED)
 
@@ -327,6 +385,59 @@ def score_texts(docs: DataFrame, path: str, prior, params, frequent, train_texts
 NAMES = [f.split()[0] for f in SCORED.split(", ")]
 
 
+def rare_counts(words: DataFrame, buckets: int) -> DataFrame:
+    """``part``, ``words``, ``sizes``, ``counts``: training words and their counts by the bucket they meet in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in joined(batches, COUNTED):
+            if batch.num_rows:
+                found, packed = _packed(batch.column(0).cast(pa.large_binary()), bucket_of(batch.column(0), buckets), batch.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([k + 1 for k in found], pa.int32()), *packed], names=["part", "words", "sizes", "counts"])
+
+    return words.filter("n_train > 0").select("word", "n_train").mapInArrow(run, "part int, words binary, sizes binary, counts binary")
+
+
+def _mixer(train_tokens: int, buckets: int):
+    """What the words of a bucket add to the sums of their texts, by bucket of texts: the bytes of rows, of logarithms of
+    counts, of numbers of known words and of scores."""
+    share = 0.5 / max(train_tokens, 1)
+
+    def run(met: pa.Table, counted: pa.Table) -> pa.Table:
+        counts = np.append(byte_view(counted.column("counts"))[0].view(np.int64), 0)
+        words = _unpacked(met.column("words"), met.column("sizes"))
+        n = counts[pc.index_in(words, value_set=_unpacked(counted.column("words"), counted.column("sizes"))).fill_null(-1).to_numpy()]
+        mixed = np.log10(0.5 * np.exp(byte_view(met.column("logs"))[0].view(np.float64)) + n * share + 1e-300)
+        row, sums = _by_row(byte_view(met.column("rows"))[0].view(np.int64), np.log10(n + 1.0), n > 0, mixed)
+        bucket = _row_bucket(row, buckets)
+        order = np.argsort(bucket, kind="stable")
+        at = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+        packed = [pa.array([x[order[i:j]].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()) for x in (row, *sums)]
+        return pa.Table.from_arrays([pa.array(bucket[order][at[:-1]], pa.int64()), *packed], names=["texts", *ADDS])
+
+    return run
+
+
+#: What words that aren't frequent add to a text.
+ADDS = ["row", "more", "more_known", "more_score"]
+
+
+def _row_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
+    """Rows of a partition are numbered from a multiple of 2 ** 36 on."""
+    return ((rows >> 36) * 7919 + (rows & ((1 << 36) - 1))) % buckets
+
+
+def _by_row(rows: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct rows and the sums of the values over each."""
+    known, back = np.unique(rows, return_inverse=True)
+    return known, [np.bincount(back, v, minlength=len(known)) for v in values]
+
+
+def _text_sums(group: pa.Table) -> pa.Table:
+    """The sums of ``_mixer`` over all buckets of words."""
+    row, (more, known, score) = _by_row(byte_view(group.column("row"))[0].view(np.int64), *(byte_view(group.column(c))[0].view(np.float64) for c in ADDS[1:]))
+    return pa.table({"row": pa.array(row), "more": pa.array(more), "more_known": pa.array(known.astype(np.int64)), "more_score": pa.array(score)})
+
+
 class Model(NamedTuple):
     """``words`` (word, n_all, n_train) and totals of the training texts, and the broadcast count model, parameters and frequent words."""
 
@@ -337,6 +448,8 @@ class Model(NamedTuple):
     prior: Any
     params: Any
     frequent: Any
+    buckets: int
+    texts: int
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -347,14 +460,16 @@ def fit(chosen: DataFrame, tokenizer_path: str, every: int = EVERY) -> Model:
     """The model of the training rows of (doc_id, text, held_out)."""
     context = chosen.sparkSession.sparkContext
     words = materialize(word_counts(chosen), "words")
-    texts = chosen.agg(F.count_if(~F.col("held_out")).alias("train")).first()["train"]
-    totals = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count_if(F.col("n_train") > 0).alias("v")).first()
+    rows = chosen.agg(F.count("*").alias("all"), F.count_if(~F.col("held_out")).alias("train")).first()
+    texts = rows["train"]
+    totals = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count_if(F.col("n_train") > 0).alias("v"), F.coalesce(F.sum("n_all"), F.lit(0)).alias("all")).first()
     encoder = byte_bpe(tokenizer_path)
     counts = materialize(subword_counts(words, tokenizer_path), "subwords")
     prior = context.broadcast(fit_prior(counts, texts, encoder.size, encoder.begins_word))
-    frequent = context.broadcast(frequent_words(words, encoder))
+    known = frequent_words(words, encoder)
+    frequent, buckets = context.broadcast(known), -(-(totals["all"] - known.n_all) // BUCKET) or 1
     windows = materialize(window_bytes(chosen, tokenizer_path, prior, every, frequent), "windows")
-    return Model(words, texts, totals["n"] + texts, totals["v"] + (texts > 0), prior, context.broadcast(train_model(windows, prior)), frequent)
+    return Model(words, texts, totals["n"] + texts, totals["v"] + (texts > 0), prior, context.broadcast(train_model(windows, prior)), frequent, buckets, rows["all"])
 
 
 def language_model_scores(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY) -> DataFrame:
@@ -374,13 +489,11 @@ def language_model_scores(docs: DataFrame, tokenizer_path: str, id_col: str = "d
 def score_with(model: Model, chosen: DataFrame, tokenizer_path: str) -> DataFrame:
     """Scores of rows (doc_id, text, held_out), the same that ``model.words`` counts."""
     words, train_tokens = model.words, model.train_tokens
-    scored = materialize(score_texts(chosen, tokenizer_path, model.prior, model.params, model.frequent, model.train_texts, train_tokens), "scored")
-    # Words that occur very often were met in score_texts, so no word is large here.
-    rare = scored.filter("part = 1").select("row", "word", "log_p").join(words.select("word", "n_train"), "word")
-    mixed = F.log10(F.exp("log_p") * 0.5 + F.col("n_train") * (0.5 / max(train_tokens, 1)) + F.lit(1e-300))
-    rare = rare.groupBy("row").agg(
-        F.sum(F.log10(F.col("n_train") + 1.0)).alias("more"), F.count_if(F.col("n_train") > 0).alias("more_known"), F.sum(mixed).alias("more_score")
-    )
+    scored = materialize(score_texts(chosen, tokenizer_path, model.prior, model.params, model.frequent, model.buckets, model.train_texts, train_tokens), "scored")
+    # Words that occur very often were met in score_texts, so no bucket is large here.
+    met = scored.filter("part > 0").select("part", "words", "sizes", "rows", "logs").groupBy("part")
+    adds = met.cogroup(rare_counts(words, model.buckets).groupBy("part")).applyInArrow(_mixer(train_tokens, -(-model.texts // TEXTS) or 1), "texts long, row binary, more binary, more_known binary, more_score binary")
+    rare = adds.groupBy("texts").applyInArrow(_text_sums, "row long, more double, more_known long, more_score double")
     out = scored.filter("part = 0").join(rare, "row", "left")
     zero = F.lit(0)
     base = F.col("base") + F.coalesce("more", zero) - F.col("n_tokens") * float(np.log10(train_tokens + model.kinds + 1.0))

@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from sievelake.llm import attention, scoring
@@ -205,3 +207,49 @@ def test_query(spark, sf):
         assert abs(r.base_score - want[r.doc_id][4]) < 1e-6 * abs(want[r.doc_id][4]) and r.score < 0
     score, base = (sum(getattr(r, c) for r in out if r.held_out) for c in ("score", "base_score"))
     assert score > (base if len(rows) >= 10_000 else 1.06 * base)
+
+
+@pytest.mark.parametrize("texts", [1, 20_000])
+def test_rare_words_meet_their_counts_in_any_number_of_buckets(spark, monkeypatch, texts):
+    """Scores don't hang on how many buckets words and texts are dealt to; few rows leave them."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i} {'é' * (i % 50)} common {'x' * (i % 90)}") for i in range(80)] + [(90, None)], "doc_id long, text string")
+    chosen = scoring.prepared(docs, "doc_id", "text")
+    monkeypatch.setattr(scoring, "FREQUENT", 3)
+    model = scoring.fit(chosen, PATH)
+    assert model.buckets == 1
+    whole = sorted(scoring.score_with(model, chosen, PATH).collect())
+    monkeypatch.setattr(scoring, "TEXTS", texts)
+    for got, want in zip(sorted(scoring.score_with(model._replace(buckets=13), chosen, PATH).collect()), whole, strict=True):
+        assert got[:5] == want[:5] and np.allclose(got[5:], want[5:], rtol=1e-12)
+
+
+def test_windows_are_dealt_in_blocks(spark):
+    """A row holds up to DEALT windows, and all but the last of a partition hold as many."""
+    prior = random_prior(40, scoring.byte_bpe(PATH).size)
+    docs = spark.createDataFrame([(i, f"word{i} " * 400, False) for i in range(30)], "doc_id long, text string, held_out boolean").coalesce(1)
+    rows = scoring.window_bytes(docs, PATH, spark.sparkContext.broadcast(prior), 1).collect()
+    assert len({r.row for r in rows}) == len(rows) > 5
+    assert all(len(r.w) == r.n * 2 * (attention.WINDOW + 1) for r in rows) and [r.n for r in rows[:-1]] == [scoring.DEALT] * (len(rows) - 1)
+
+
+def test_copies_are_averaged_by_their_windows(spark, monkeypatch):
+    """Bundles of copies add up to the average by numbers of windows, exactly as many blocks as there are parameters."""
+    sizes = []
+
+    def train(params, prior, windows, rate, seed):
+        sizes.append(len(windows))
+        return {k: v + np.float32(len(windows)) for k, v in params.items()}
+
+    monkeypatch.setattr(scoring, "PART", 1000)
+    start = attention.flatten(attention.initial(scoring.ACTIVE))
+    monkeypatch.setattr(attention, "train", train)
+    broadcast = lambda value: type("B", (), {"value": value})()
+    trainer, copies = scoring._trainer(broadcast(start), broadcast(None), 0), []
+    for g, n in ((0, 3), (1, 5), (70, 2)):
+        copies.append(trainer((pa.scalar(g),), pa.table({"w": pa.array([b"\0" * (66 * n)], pa.binary())})))
+    assert sizes == [3, 5, 2] and [c.column("bundle")[0].as_py() for c in copies] == [0, 0, 1]
+    for block in (0, len(start) // 1000):
+        added = scoring._added(pa.concat_tables([c.filter(pc.equal(c.column("block"), block)) for c in copies]))
+        assert added.column("weight").to_pylist() == [10]
+        want = start[block * 1000 : (block + 1) * 1000] + (9 + 25 + 4) / 10
+        assert np.allclose(np.array(added.column("total")[0].as_py()) / 10, want, atol=1e-5)
